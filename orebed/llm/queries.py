@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, quality, simhash
 from .common import table
 
 
+def op1_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance")
+    )
+
+
+def op4_packing(spark, sf_dir):
+    pieces = packing.cut(table(spark, sf_dir, "documents"))
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.place(pieces)
+
+
 def op8_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -17,5 +29,5 @@ def op8_simhash(spark, sf_dir):
     )
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+QUERIES = {f.__name__: f for f in (op1_quality, op4_packing, op8_simhash)}
 SQL: dict[str, str] = {}
