@@ -22,13 +22,13 @@ from .common import chi2_quantile, ready, staged
 
 FEATURES = ("word_len", "distinct", "length", "symbols", "dup_lines", "repeats", "upper")
 #: Least standard deviation of each feature: below it a spread is not told from zero.
-FLOOR = (0.05, 0.05, 0.30, 0.05, 0.10, 0.15, 0.05)
+FLOOR = (0.05, 0.05, 0.30, 0.05, 0.20, 0.25, 0.05)
 COVER = 0.75
 STEPS = 4
 #: Documents that a (language, source) group needs for an estimate of its own.
 LEAST_ROWS = 200
 #: Share of clean documents, were they normal, beyond the cutoff.
-TAIL = 1e-7
+TAIL = 1e-5
 #: Bins of squared distance: 8 to a doubling, from 2^-8 to 2^24.
 BINS = 256
 #: Groups whose estimates are broadcast; more are joined by a shuffle.
