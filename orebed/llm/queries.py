@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash
+from . import mixing, packing, quality, simhash
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_packing(spark, sf_dir):
     return packing.place(pieces)
 
 
+def op7_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -29,5 +33,5 @@ def op8_simhash(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_packing, op8_simhash)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op4_packing, op7_mixing, op8_simhash)}
+SQL = {"op7_mixing": mixing.mix_sql("doc_id, text, lang, source, n_chars")}
