@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chi2_quantile, ready, staged
+from .common import chi2_quantile, free_name, ready, staged
 
 FEATURES = ("word_len", "distinct", "length", "symbols", "dup_lines", "repeats", "upper")
 #: Least standard deviation of each feature: below it a spread is not told from zero.
@@ -212,3 +212,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     distance = F.when(~F.col("base_failed"), F.coalesce("near", "wide"))
     limit = chi2_quantile(1 - tail, len(FEATURES))
     return two.select("doc_id", *STATS, "base_failed", distance.alias("distance"), (~F.col("base_failed") & F.coalesce(distance <= limit, F.lit(True))).alias("kept"))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` keeps, all columns as they are.
+
+    The verdict is found by id; where an id is null or repeats, a row goes if any row of that id is
+    rejected.  Null ids are compared as a value.
+    """
+    verdicts = judge(docs, id_col, text_col, lang_col, source_col, tail)
+    gone = free_name(docs, "gone")
+    lost = staged(verdicts.filter("not kept").select(F.col("doc_id").alias(gone)).distinct(), "rejected")
+    return docs.join(lost, docs[id_col].eqNullSafe(lost[gone]), "left_anti")

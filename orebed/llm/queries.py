@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash
+from . import mixing, packing, pii, quality, secrets, simhash, spans
 from .common import table
 
 
@@ -33,5 +33,13 @@ def op8_simhash(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_packing, op7_mixing, op8_simhash)}
+def op9_secrets(spark, sf_dir):
+    return spans.digest(secrets.scan(table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
+
+
+def op10_pii(spark, sf_dir):
+    return spans.digest(pii.scan(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op4_packing, op7_mixing, op8_simhash, op9_secrets, op10_pii)}
 SQL = {"op7_mixing": mixing.mix_sql("doc_id, text, lang, source, n_chars")}
