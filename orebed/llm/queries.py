@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, secrets, simhash, spans
+from . import mixing, packing, pii, quality, secrets, simhash, spans, warc
 from .common import table
 
 
@@ -14,6 +14,13 @@ def op1_quality(spark, sf_dir):
     )
 
 
+def op3_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = warc.read(warc.write(pages), payloads=False)
+    return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op4_packing(spark, sf_dir):
     pieces = packing.cut(table(spark, sf_dir, "documents"))
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -41,5 +48,5 @@ def op10_pii(spark, sf_dir):
     return spans.digest(pii.scan(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_packing, op7_mixing, op8_simhash, op9_secrets, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_warc, op4_packing, op7_mixing, op8_simhash, op9_secrets, op10_pii)}
 SQL = {"op7_mixing": mixing.mix_sql("doc_id, text, lang, source, n_chars")}
