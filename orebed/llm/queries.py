@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, secrets, simhash, spans, warc
+from . import html, mixing, packing, pii, quality, secrets, simhash, spans, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark, sf_dir):
     )
 
 
+def op2_html(spark, sf_dir):
+    return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
@@ -48,5 +52,5 @@ def op10_pii(spark, sf_dir):
     return spans.digest(pii.scan(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_warc, op4_packing, op7_mixing, op8_simhash, op9_secrets, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_html, op3_warc, op4_packing, op7_mixing, op8_simhash, op9_secrets, op10_pii)}
 SQL = {"op7_mixing": mixing.mix_sql("doc_id, text, lang, source, n_chars")}
