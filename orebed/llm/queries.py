@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, html, mixing, packing, pii, quality, secrets, simhash, spans, warc
+from . import classifier, embeddings, html, mixing, packing, pii, quality, secrets, simhash, spans, warc
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op5_embeddings(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_classifier(spark, sf_dir):
+    found = classifier.classify(table(spark, sf_dir, "documents"))
+    return found.withColumns({"posterior": F.round("posterior", 6), "score": F.round("score", 6)})
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -56,5 +61,5 @@ def op10_pii(spark, sf_dir):
     return spans.digest(pii.scan(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_html, op3_warc, op4_packing, op5_embeddings, op7_mixing, op8_simhash, op9_secrets, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_html, op3_warc, op4_packing, op5_embeddings, op6_classifier, op7_mixing, op8_simhash, op9_secrets, op10_pii)}
 SQL = {"op7_mixing": mixing.mix_sql("doc_id, text, lang, source, n_chars")}
