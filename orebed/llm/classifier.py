@@ -24,7 +24,7 @@ LABELLERS = ("symbols", "dup_lines", "repeats", "upper", "length", "word_len", "
 TRAIN_ROWS = 4000
 #: Hashed features: 2^BITS weights.
 BITS = 15
-THRESHOLD = 0.5
+THRESHOLD = 0.25
 EPOCHS, RATE, DECAY = 30, 0.3, 1e-5
 
 
@@ -33,31 +33,33 @@ def votes() -> Column:
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     lines = F.greatest("n_lines", F.lit(1))
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, F.lit("b")).when(good, F.lit("g")).otherwise(F.lit("n"))
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        found = F.when(bad, F.lit("b"))
+        return (found if good is None else found.when(good, F.lit("g"))).otherwise(F.lit("n"))
 
     length = F.col("word_chars") / words
     return F.concat(
-        vote(F.col("n_symbols") > 0.05 * chars, F.col("n_symbols") < 0.01 * chars),
-        vote(F.col("n_dup_lines") > 0.3 * lines, (F.col("n_dup_lines") == 0) & (lines >= 3)),
-        vote(F.col("n_repeat_words") > 0.4 * words, F.col("n_repeat_words") < 0.1 * words),
-        vote(F.col("n_upper") > 0.3 * chars, F.col("n_upper") < 0.12 * chars),
+        vote(F.col("n_symbols") > 0.05 * chars),
+        vote(F.col("n_dup_lines") > 0.3 * lines),
+        vote(F.col("n_repeat_words") > 0.4 * words),
+        vote(F.col("n_upper") > 0.3 * chars),
         vote(F.col("n_words") < 20, F.col("n_words") >= 60),
         vote((length < 2.5) | (length > 14), (length > 3.5) & (length < 9)),
         vote(F.col("n_distinct") < 0.2 * F.least(words, F.lit(500)), F.col("n_distinct") > 0.4 * F.least(words, F.lit(500))),
-        vote(F.col("n_symbols") > 0.2 * words, F.col("n_symbols") < 0.02 * words),
+        vote(F.col("n_symbols") > 0.2 * words),
     )
 
 
 def label_model(counts: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], np.ndarray, float]:
     """Posterior of good for each vote pattern, the heuristics' vote probabilities (class, labeller, vote), and the share of good.
 
-    Votes are independent given the class.  Every heuristic starts 80 % right and keeps being more
-    often right than wrong, so the classes can't swap.  No patterns give no posteriors."""
+    Votes are independent given the class; a heuristic that sees nothing wrong may abstain.  Every
+    heuristic starts with bad votes far likelier on bad documents and keeps being more often right
+    than wrong, so the classes can't swap.  No patterns give no posteriors."""
     patterns = sorted(counts)
     m = len(LABELLERS)
     table = np.zeros((2, m, 3))  # class bad, good; vote b, g, n
-    table[0], table[1] = [0.56, 0.14, 0.3], [0.14, 0.56, 0.3]
+    table[0], table[1] = [0.35, 0.3, 0.35], [0.02, 0.49, 0.49]
     if not patterns:
         return {}, table, 0.5
     n = np.array([counts[p] for p in patterns], float)
