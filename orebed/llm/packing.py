@@ -7,6 +7,13 @@ first bin with room; a tournament tree over the bins' free room finds that bin i
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+import types
+import unicodedata
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +25,10 @@ CAPACITY = 4096
 END_ID = 2
 #: Pieces of a randomised group, on average.
 GROUP_ROWS = 2048
-#: Words kept in a worker's dictionary of encoded words, and the longest such word in bytes.
-CACHE_WORDS, CACHE_BYTES = 200_000, 64
+#: Pieces kept in a worker's dictionary, and the longest of them in bytes.
+CACHE_PIECES, CACHE_BYTES = 600_000, 64
+#: New pieces encoded in one call.
+TOGETHER = 100
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -29,29 +38,95 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class WordCache(dict):
-    """UTF-8 word -> its ids as little-endian unsigned 32-bit integers.
+#: The tokenizer's own cut of lower-cased text, on bytes; bytes beyond ASCII count as letters here.
+PIECE = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\x20\x09-\x0Da-z0-9\x80-\xff]+")
+
+
+BARE = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+CONTROL = re.compile(rb"[\x00-\x1f\x7f]")
+
 
-    The tokenizer drops white space and no token, composition or special token spans it, so a text's
-    ids are the ids of its words between ASCII white space, one word after the other.
+class Encoder:
+    """Texts to ids, as little-endian unsigned 32-bit integers, with a dictionary of pieces.
+
+    The tokenizer lowers the text, drops white space and encodes runs of letters, digits and runs of marks
+    each for itself, so a text's ids are the ids of its pieces, one after the other.  A run with bytes beyond
+    ASCII is a piece only if it is letters that stay letters under composition and lower-casing; a text with
+    any other such run, or with the beginning of a special token, is encoded word by word instead, as no token,
+    composition or special token spans white space.  New pieces are encoded many at a time, separated by
+    blanks: every piece ends with the one token of it that the vocabulary marks as a word's end.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        import struct
-
-        ids = self.encode(word.decode(), add_special_tokens=False).ids
-        coded = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = coded
-        return coded
+        tool = Tokenizer.from_file(path)
+        self.encode = tool.encode
+        # the same model without the normaliser and the cut, which leave lower-cased ASCII pieces as they are
+        bare = json.loads(tool.to_str()) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": BARE}
+        self.encode_ascii = Tokenizer.from_str(json.dumps(bare)).encode
+        vocabulary = tool.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes | None] = {}
+
+    def ids(self, text: bytes) -> bytes:
+        return np.array(self.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes | None]:
+        """The ids of new pieces; None for those that are no pieces."""
+        got: dict[bytes, bytes | None] = {}
+        plain, wide = [], []
+        for piece in pieces:
+            if piece.isalnum():
+                plain.append(piece)
+            elif piece.isascii():
+                if CONTROL.search(piece):
+                    got[piece] = self.ids(piece)
+                else:
+                    plain.append(piece)
+            elif (letters := piece.decode()).isalpha() and (whole := unicodedata.normalize("NFC", letters)).isalpha() and whole.lower().isalpha():
+                wide.append(piece)
+            else:
+                got[piece] = None
+        for encode, own in ((self.encode_ascii, plain), (self.encode, wide)):
+            for at in range(0, len(own), TOGETHER):
+                part = own[at : at + TOGETHER]
+                ids = np.array(encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(cuts) == len(part) and (not len(cuts) or cuts[-1] == 4 * len(ids)):
+                    data, start = ids.tobytes(), 0
+                    for piece, end in zip(part, cuts.tolist(), strict=True):
+                        got[piece] = data[start:end]
+                        start = end
+                else:
+                    got |= {piece: self.ids(piece) for piece in part}
+        return got
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        cuts = [None if b"<|" in t else PIECE.findall(t.lower()) for t in texts]
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        known = self.known
+        new = list(set().union(*filter(None, cuts)).difference(known))
+        known.update(self.learn(new))
+        get, out = known.__getitem__, []
+        for text, pieces in zip(texts, cuts, strict=True):
+            coded = None if pieces is None else list(map(get, pieces))
+            out.append(b"".join(map(self.ids, text.split())) if coded is None or None in coded else b"".join(coded))
+        for piece in new:
+            if len(piece) > CACHE_BYTES:
+                del known[piece]
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder: later tasks of the process find the pieces of earlier ones."""
+    held = sys.modules.setdefault("orebed_encoder", types.ModuleType("orebed_encoder")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -64,12 +139,12 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacit
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        words = WordCache(path)
-        get, end = words.__getitem__, END_ID.to_bytes(4, "little")
+        end = END_ID.to_bytes(4, "little")
         for batch in batches:
             at, start, length, total, ids = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
-                coded = b"".join(map(get, (text.as_py() or b"").split())) + end
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for i, coded in enumerate(encoder(path).texts(texts)):
+                coded += end
                 for s in range(0, len(coded), step):
                     piece = coded[s : s + step]
                     at.append(i)
