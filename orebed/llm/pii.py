@@ -196,7 +196,7 @@ def decode(text: str, base: list[tuple[int, int, int]], model: tuple) -> list[tu
     return out
 
 
-def training_texts(n: int = 600, seed: int = 7) -> list[tuple[str, list[int]]]:
+def training_texts(n: int = 1000, seed: int = 7) -> list[tuple[str, list[int]]]:
     """Generated sentences and the label of each word: strict mentions, loose repeats of them, and numbers that are none."""
     rng = random.Random(seed)
     filler = "we met the other team and they said it was fine to go on with our plan for now so please keep this".split()
@@ -247,7 +247,7 @@ def training_texts(n: int = 600, seed: int = 7) -> list[tuple[str, list[int]]]:
 
 
 @lru_cache(maxsize=1)
-def train(steps: int = 400, rate: float = 0.05, decay: float = 0.002) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(steps: int = 500, rate: float = 0.05, decay: float = 0.0002) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unary (features, labels), chain and skip (labels, labels) weights by pseudo-likelihood."""
     size = len(LABELS)
     xs, ys, left, right, near = [], [], [], [], []
