@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ready
 
@@ -74,10 +75,10 @@ def redact(docs: DataFrame, kinds: tuple[str, ...], find: Callable, text_col: st
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if count is not None:
                 columns[count] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(count).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([f.with_nullable(True) for f in batch.schema]))
 
     ready(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
 def has_any(data: bytes, wanted: bytes) -> bool:
