@@ -23,13 +23,13 @@ from .components import components
 
 THRESHOLD = 0.98
 #: Members a shard should have, the most that it may have before it is cut, and the most pivots in all.
-SHARD_ROWS, CHUNK_ROWS, PIVOTS = 1000, 3000, 20_000
+SHARD_ROWS, CHUNK_ROWS, PIVOTS = 250, 3000, 50_000
 OVERLAP = 3
 #: Neighbours kept by robust pruning, nearest members and spread members considered, slack factor of the pruning.
 DEGREE, NEAREST, SPREAD, ALPHA = 16, 48, 16, 1.2
 #: Links to members drawn from a node's whole range where that holds more than NEAREST: they join the parts of a dense range.
 SHORTCUTS = 4
-BEAM, MEDOIDS = 24, 4
+BEAM, MEDOIDS = 12, 4
 #: Nodes down to this cosine are expanded, so that the range's rim is passed.
 WIDE = 0.95
 AUDIT_QUERIES, LEAST_RECALL = 512, 0.99
