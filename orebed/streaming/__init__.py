@@ -1,0 +1 @@
+"""Streaming: the reference jobs are batch jobs; there is nothing to register here."""
