@@ -139,10 +139,11 @@ def features(found: list[dict]) -> list[list[str]]:
         own = tags[-1] if tags else "none"
         mine.append("tag=" + own)
         mine += ["in=" + t for t in set(tags[:-1] if own not in ("nav", "aside", "footer", "header", "form") else tags)]
-        mine += ["name=" + x for x in {x for _, names in path for x in names}]
+        named = {x for _, names in path for x in names}
+        mine += ["name=" + x for x in named]
         for t in reversed(tags):
             if t in ("article", "main", "nav", "aside", "footer", "header", "form", "section"):
-                mine.append("nearest=" + t)
+                mine += ["nearest=" + t, f"nearest={t},{'named' if named else 'bare'}"]
                 break
         if i == 0:
             mine.append("first")
@@ -194,7 +195,7 @@ HEAD_NAMES = "header masthead site-header topbar top".split()
 FOOT_NAMES = "footer site-footer bottom legal copyright".split()
 
 
-def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[int]]]:
+def training_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Generated pages of many layouts with a label (1: main text) for each leaf block."""
     rng = random.Random(seed)
     out = []
@@ -206,7 +207,8 @@ def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[int]]]:
         def menu():
             k = rng.randint(2, 7)
             items = "".join(f'<li><a href="/x">{w.words(1, 3)}</a></li>' for _ in range(k))
-            w.put(rng.choice([f"<nav><ul>{items}</ul></nav>", f"<nav{attr(MENU_NAMES)}><ul>{items}</ul></nav>", f"<div{attr(MENU_NAMES)}><ul>{items}</ul></div>"]), *[0] * k)
+            cells = items.replace("<li>", "<td>").replace("</li>", "</td>")
+            w.put(rng.choice([f"<table><tr>{cells}</tr></table>", f"<nav><ul>{items}</ul></nav>", f"<nav><ul>{items}</ul></nav>", f"<nav{attr(MENU_NAMES)}><ul>{items}</ul></nav>", f"<div{attr(MENU_NAMES)}><ul>{items}</ul></div>"]), *[0] * k)
 
         def head():
             tag = "header" if semantic or rng.random() < 0.5 else "div"
@@ -265,6 +267,8 @@ def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[int]]]:
                 w.put("<table>" + "".join(f"<tr><td>{w.words(1, 4)}</td></tr>" for _ in range(k)) + "</table>", *[1] * k)
 
         w.put("<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
+        if rng.random() < 0.3:
+            w.put(f'<div id="{rng.choice(["wrapper", "page", "container", "site", "layout"])}">')
         for part in (head, menu, advert, notice, side, form):
             if rng.random() < 0.5:
                 part()
@@ -272,13 +276,15 @@ def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[int]]]:
         name = attr(MAIN_NAMES) if box == "div" or rng.random() < 0.4 else ""
         opened = {"article": f"<article{name}>", "main": f"<main{name}>", "both": f"<main><article{name}>", "div": f"<div{name}>"}[box]
         closed = {"article": "</article>", "main": "</main>", "both": "</article></main>", "div": "</div>"}[box]
+        if box == "div" and rng.random() < 0.25:  # no container at all
+            opened = closed = ""
         w.put(opened)
         if rng.random() < 0.9:
             w.put(rng.choice([f"<h1>{w.words(1, 12)}</h1>", f"<h1>{w.sentence(1, 12)}</h1>", f"<header><h1>{w.words(1, 12)}</h1></header>"]), 1)
         for _ in range(rng.randint(1, 14)):
             paragraph()
-            if rng.random() < 0.05:
-                rng.choice([advert, side, notice, form])()
+            if rng.random() < 0.1:
+                rng.choice([advert, advert, side, notice, form])()
         w.put(closed)
         for part in (comments, side, advert, form, notice, menu):
             if rng.random() < 0.4:
