@@ -41,10 +41,10 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
         pairs = [x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(float(v)))]
         named = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
         weighed = counts.withColumn("w", F.coalesce(F.element_at(named, F.col("of").cast("string")), F.lit(0.0)))
-    sums = weighed.agg(F.sum("w").alias("sum_w"), F.sum("n").alias("sum_n"))
-    whole = F.lit(float(total)) if total is not None else F.col("sum_n")
-    rate = F.when(F.col("sum_w") > 0, F.col("w") / F.col("sum_w") * whole / F.col("n")).otherwise(F.lit(0.0))
-    found = weighed.crossJoin(F.broadcast(sums)).select("of", rate.alias("rate"))  # sums is one row
+    sums = weighed.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()  # two numbers
+    whole = F.lit(total) if total is not None else F.lit(sums["n"])
+    rate = F.col("w") / F.lit(sums["w"]) * whole / F.col("n") if sums["w"] else F.lit(0.0)
+    found = weighed.select("of", rate.alias("rate"))
     steps = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int"))
     log_term = lambda a, k: F.struct((a["t"] + F.log("rate") - F.log(k.cast("double"))).alias("t"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + F.exp(a["t"] + F.log("rate") - F.log(k.cast("double"))))).alias("c"))
     first = F.struct((-F.col("rate")).alias("t"), F.array(F.exp(-F.col("rate"))).alias("c"))
