@@ -26,7 +26,7 @@ END_ID = 2
 #: Pieces of a randomised group, on average.
 GROUP_ROWS = 2048
 #: Pieces kept in a worker's dictionary, and the longest of them in bytes.
-CACHE_PIECES, CACHE_BYTES = 600_000, 64
+CACHE_PIECES, CACHE_BYTES = 1_000_000, 64
 #: New pieces encoded in one call.
 TOGETHER = 100
 VOCABULARY = "word_bpe_49k.json"
@@ -76,11 +76,9 @@ class Encoder:
     def learn(self, pieces: list[bytes]) -> dict[bytes, bytes | None]:
         """The ids of new pieces; None for those that are no pieces."""
         got: dict[bytes, bytes | None] = {}
-        plain, wide = [], []
-        for piece in pieces:
-            if piece.isalnum():
-                plain.append(piece)
-            elif piece.isascii():
+        plain, wide = [p for p in pieces if p.isalnum()], []
+        for piece in (p for p in pieces if not p.isalnum()):
+            if piece.isascii():
                 if CONTROL.search(piece):
                     got[piece] = self.ids(piece)
                 else:
@@ -113,11 +111,12 @@ class Encoder:
         known.update(self.learn(new))
         get, out = known.__getitem__, []
         for text, pieces in zip(texts, cuts, strict=True):
-            coded = None if pieces is None else list(map(get, pieces))
-            out.append(b"".join(map(self.ids, text.split())) if coded is None or None in coded else b"".join(coded))
-        for piece in new:
-            if len(piece) > CACHE_BYTES:
-                del known[piece]
+            try:
+                out.append(b"".join(map(get, pieces)))
+            except TypeError:  # no pieces, or something that is no piece
+                out.append(b"".join(map(self.ids, text.split())))
+        for piece in [p for p in new if len(p) > CACHE_BYTES]:
+            del known[piece]
         return out
 
 
