@@ -47,3 +47,10 @@ def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def plain_lines(df: DataFrame, separator: str = ",", header_separator: str | None = None) -> DataFrame:
+    """line: a header line, then the rows in their order, values joined without any quoting."""
+    head = (header_separator or separator).join(df.columns)
+    rows = df.select(F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("line"))
+    return df.sparkSession.createDataFrame([(head,)], "line string").union(rows)

@@ -225,6 +225,7 @@ def test_statistics_and_files(spark, tmp_path):
     assert [tuple(r) for r in cities.collect()] == [("Ulm, DE", 3.0)]
     sinks.write_csv(cities, str(tmp_path / "out"))
     assert "stars" in next((tmp_path / "out").glob("*.csv")).read_text()
+    assert [r["line"] for r in sinks.plain_lines(cities, header_separator=", ").collect()] == ["city, stars", "Ulm, DE,3.0"]
     report = S.partition_report(reviews, 3)
     assert sum(report["customized"]["n_items"]) == 2 and set(S.first_rows_report(cities)) == {"m1", "m2", "explanation"}
     (tmp_path / "ub.csv").write_text("user_id,business_id\nu1,b1\nuser_id,business_id\n")
