@@ -76,8 +76,11 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _normal(path: str) -> str:
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+def _qualified(spark, path: str) -> str:
+    """``path`` with its filesystem: one without a scheme means the cluster's default, not the executor's disk."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, path: str | None = None, level: int = 3) -> DataFrame:
@@ -89,7 +92,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     and responses otherwise.  A null url is left out.  An empty table gives an empty index.
     """
     spark = ready(pages.sparkSession)
-    path = _normal(path or scratch(spark, "warc"))
+    path = _qualified(spark, path or scratch(spark, "warc"))
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body")).withColumn("sha", F.sha1("body"))
     same = rows.filter(F.length("body") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
