@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = every.join(least, "fp")
     top = member.groupBy("root").agg(F.min("least").alias("component"))
     member = member.join(top, "root").select("fp", "component")
-    classes = least.join(member, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    classes = staged(least.join(member, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
+    # a join alone in its plan, so that the adaptive skew join can split a fingerprint that many documents share
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
