@@ -2,9 +2,9 @@
 
 A text is scanned, then its encoded parts are unwrapped: percent escapes and Unicode escapes give a
 decoded copy of the whole layer, a base64 run gives a layer of its own (decompressed where it holds a compressed
-stream).  Every layer goes on the worklist once; layers seen before (by their text) are not taken
-again, so cycles end, and the list runs until nothing new appears.  Spans found in a layer are mapped back through the
-layers to the whole text.
+stream).  The list runs until nothing new appears.  A copy is taken once for its text and its places; what a
+base64 run leads to is worked out once for its bytes and reported at every place where they
+stand.  Spans found in a layer are mapped back through the layers to the whole text.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from .spans import detect, offsets
@@ -145,55 +145,104 @@ def _plausible(head: bytes) -> bool:
     return head[:1] in b"\x1f\x78\xfd\x28" or head[:2] == b"BZ" or all(b >= 32 or b in b"\t\r\n" for b in head) and b"\x7f" not in head
 
 
-def layers(text: str):
-    """Each decoded layer once: (text, start and end in ``text`` of each character, or one span for all)."""
-    work = [(text, None)]
-    seen = {text}
-    while work:
-        now, at = work.pop()
-        found = []
-        if "%" in now:
-            found.append(_replaced(now, PERCENT, _percent))
-        if "\\" in now or "&#" in now:
-            found.append(_replaced(now, UNICODE, _unicode))
-        for new in filter(None, found):
-            if new[0] not in seen:
-                seen.add(new[0])
-                s, e = offsets(new[1])
-                changed = (e - s) != 1
-                if at is not None:
-                    e, s, changed = at[1][e - 1], at[0][s], changed | at[2][s] | at[2][e - 1]
-                yield new[0], (s, e, changed)
-                work.append((new[0], (s, e, changed)))
-        for m in RUN64.finditer(now):
-            head = _base64(m.group()[:16])
-            if head is None or not _plausible(head[:4]):
-                continue
+def _runs(text: str):
+    """Start, end and decoded bytes of each base64 run that may hold something."""
+    for m in RUN64.finditer(text):
+        head = _base64(m.group()[:16])
+        if head is not None and _plausible(head[:4]):
             data = _base64(m.group())
-            s, e = (m.start(), m.end()) if at is None else (int(at[0][m.start()]), int(at[1][m.end() - 1]))
+            if data:
+                yield m.start(), m.end(), data
+
+
+def _copies(text: str):
+    """The decoded copies of a whole layer, each with the pieces it is made of."""
+    if "%" in text:
+        yield _replaced(text, PERCENT, _percent)
+    if "\\" in text or "&#" in text:
+        yield _replaced(text, UNICODE, _unicode)
+
+
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(hashlib.blake2b(p).digest() for p in parts), digest_size=16).digest()
+
+
+class _Inner:
+    """The kinds found in decoded bytes and in everything decoded from them.
+
+    All of it maps to the one run that the bytes stand in, so kinds are enough.  What a layer holds and leads to is worked out
+    once for a text, however often the layer occurs; each call then walks what its own bytes lead to,
+    so cycles end and no occurrence is skipped."""
+
+    def __init__(self):
+        self.known: dict[bytes, tuple[set[int], list[bytes]]] = {}
+        self.kinds: dict[bytes, frozenset[int]] = {}
+
+    def _expand(self, kind: str, value) -> tuple[set[int], list[tuple[bytes, str, object]]]:
+        """Kinds of one layer, and the layers decoded from it as (key, kind, value)."""
+        if kind == "bytes":
             try:
-                inner = _text_of(data) if data else None
+                text = _text_of(value)
             except OverflowError:
-                yield None, (s, e)
+                return {3}, []
+            following = [("text", text)] if text else []
+            found = set()
+        else:
+            found = {k for _, k, _ in base_spans(value)}
+            following = [("text", new[0]) for new in _copies(value) if new] + [("bytes", data) for _, _, data in _runs(value)]
+        return found, [(_digest(k.encode(), v if k == "bytes" else v.encode("utf-8", "surrogatepass")), k, v) for k, v in following]
+
+    def of(self, data: bytes) -> frozenset[int]:
+        first = _digest(b"bytes", data)
+        if first not in self.kinds:
+            work, reached, kinds = [(first, "bytes", data)], {first}, set()
+            while work:
+                key, kind, value = work.pop()
+                if key not in self.known:
+                    found, following = self._expand(kind, value)
+                    self.known[key] = found, following
+                found, following = self.known[key]
+                kinds |= found
+                for child in following:
+                    if child[0] not in reached:
+                        reached.add(child[0])
+                        work.append(child)
+            self.kinds[first] = frozenset(kinds)
+        return self.kinds[first]
+
+
+def whole_layers(text: str):
+    """``text`` and its decoded copies: (text, start, end in the first text and whether it was decoded, of each character; None for the first).
+
+    A copy is the same as an earlier one if its text and its places are."""
+    work, seen = [(text, None)], set()
+    while work:
+        now, at = work.pop()
+        yield now, at
+        for new in _copies(now):
+            if not new:
                 continue
-            if inner and inner not in seen:
-                seen.add(inner)
-                where = (np.full(len(inner), s), np.full(len(inner), e), np.ones(len(inner), bool))
-                yield inner, where
-                work.append((inner, where))
+            s, e = offsets(new[1])
+            changed = (e - s) != 1
+            if at is not None:
+                e, s, changed = at[1][e - 1], at[0][s], changed | at[2][s] | at[2][e - 1]
+            key = _digest(new[0].encode("utf-8", "surrogatepass"), s.tobytes(), e.tobytes())
+            if key not in seen:
+                seen.add(key)
+                work.append((new[0], (s, e, changed)))
 
 
 def find(text: str) -> tuple[list, list]:
     """Base spans, and all spans: base ones and those of the decoded layers mapped to ``text``."""
     base = base_spans(text)
     every = set(base)
-    for layer, at in layers(text):
-        if layer is None:
-            every.add((at[0], 3, at[1]))
-            continue
-        for s, k, e in base_spans(layer):
-            if at[2][s:e].any():
-                every.add((int(at[0][s]), k, int(at[1][e - 1])))
+    inner = _Inner()
+    for layer, at in whole_layers(text):
+        if at is not None:
+            every.update((int(at[0][s]), k, int(at[1][e - 1])) for s, k, e in base_spans(layer) if at[2][s:e].any())
+        for s, e, data in _runs(layer):
+            place = (s, e) if at is None else (int(at[0][s]), int(at[1][e - 1]))
+            every.update((place[0], k, place[1]) for k in inner.of(data))
     return base, sorted(every)
 
 

@@ -543,6 +543,20 @@ def test_secrets_end_on_cycles_and_bombs(monkeypatch):
     assert secrets.find(text)[1] == [(0, 3, len(text))]
 
 
+def test_secrets_at_every_occurrence():
+    def enc(data):
+        return base64.b64encode(data).decode()
+
+    plain, packed = enc(SECRET.encode()), enc(gzip.compress(SECRET.encode(), mtime=0))
+    outer = enc(plain.encode())  # leads to the same inner text
+    text = f"a {plain} b {packed} c {plain} d {outer} e {packed} f {plain}"
+    places = [m.span() for m in re.finditer("|".join(map(re.escape, (plain, packed, outer))), text)]
+    assert len(places) == 6
+    found = secrets.find(text)[1]
+    for s, e in places:
+        assert {(s, 0, e), (s, 1, e)} <= set(found)
+
+
 def test_pii_patterns_against_plain_ones():
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
