@@ -6,12 +6,15 @@ member gets a robust-pruned neighbour list; the lists of a node over all its sha
 shard is then searched on that graph: for every member a greedy best-first search starts at the shard's medoids and
 at the member's own list, and goes on expanding as long as it finds nodes in the (widened) range.  Links found are verified
 by cosine in double precision.  A pair that shares several shards counts in the least of them, so counts are sums and no pairs leave
-a shard, only spanning links.  Recall is audited against brute force on a bounded set of queries; while it is below the
-wanted one, the search is repeated with twice the overlap and beam.
+a shard, only spanning links.  Recall is audited against brute force on a bounded set of hash-drawn queries, by classes of
+degree; while one class is below the wanted recall, the search is repeated with twice the overlap and
+beam, and if it still is in the last round, the call raises.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import buckets, ready, staged, unsigned_hash
 from .components import components
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.98
 #: Members a shard should have, the most that it may have before it is cut, and the most pivots in all.
 SHARD_ROWS, CHUNK_ROWS, PIVOTS = 250, 3000, 50_000
@@ -32,7 +37,8 @@ SHORTCUTS = 4
 BEAM, MEDOIDS = 12, 4
 #: Nodes down to this cosine are expanded, so that the range's rim is passed.
 WIDE = 0.95
-AUDIT_QUERIES, LEAST_RECALL = 512, 0.99
+#: Nodes drawn for the audit, the recall that every class of degree must reach, shards a vector in the last round.
+AUDIT_QUERIES, LEAST_RECALL, MOST_OVERLAP = 4096, 0.99, 64
 
 
 def unit(rows: list) -> np.ndarray:
@@ -266,7 +272,7 @@ def _lists(rows: pa.Table) -> pa.Table:
 
 
 def _found(threshold: float, beam: int):
-    """Search of one shard: (node, links) counts, and spanning links (a, b)."""
+    """Search of one shard: (node, links, pairs) counts with and without copies, and spanning links (a, b)."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("node", "ascending")])
@@ -287,7 +293,7 @@ def _found(threshold: float, beam: int):
                 same = (own[q, i] == own[v, j]) & (own[q, i] >= 0)
                 least = np.where(same, np.minimum(least, own[q, i]), least)
         mine = least == here
-        links = np.zeros(len(nodes), np.int64)
+        links, pairs = np.zeros(len(nodes), np.int64), np.bincount(q[mine], minlength=len(nodes))
         np.add.at(links, q[mine], weight[v[mine]])
         span = _spanning(q, v, len(nodes))
         some = np.flatnonzero(links)
@@ -295,46 +301,59 @@ def _found(threshold: float, beam: int):
         b = [None] * len(some) + [int(nodes[j]) for _, j in span]
         ids = [int(nodes[i]) for i in some] + [None] * len(span)
         counts = [int(links[i]) for i in some] + [None] * len(span)
+        others = [int(pairs[i]) for i in some] + [None] * len(span)
         kinds = pa.int64()
-        return pa.table({"node": pa.array(ids, kinds), "links": pa.array(counts, kinds), "a": pa.array(a, kinds), "b": pa.array(b, kinds)})
+        return pa.table({"node": pa.array(ids, kinds), "links": pa.array(counts, kinds), "pairs": pa.array(others, kinds), "a": pa.array(a, kinds), "b": pa.array(b, kinds)})
 
     return run
 
 
-def _audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the links of up to AUDIT_QUERIES hash-chosen nodes that the search found."""
+def _recalls(nodes: DataFrame, counts: DataFrame, threshold: float) -> dict[int, tuple[int, float]]:
+    """By class of true degree (1, 2 to 3, 4 to 7, ... named by the least): nodes asked and the mean of their recall.
+
+    The nodes are drawn by a hash alone, whatever was found, and each counts once; degrees and
+    recall count nodes, not copies.  The truth is brute force against all nodes."""
     total = nodes.count()
-    chosen = nodes.filter(unsigned_hash(F.lit(11), F.col("node")) < int(2**63 * min(1.0, AUDIT_QUERIES / max(total, 1)) * 0.9))
-    # half of the queries come from nodes with links, where there is something to miss
-    linked = nodes.join(counts, "node", "left_semi").filter(unsigned_hash(F.lit(12), F.col("node")) < int(2**63 * min(1.0, AUDIT_QUERIES / max(counts.count(), 1)) * 0.9))
-    asked = chosen.unionByName(linked).select("node", "part_of", F.col("vec").cast("array<double>").alias("vec")).limit(2 * AUDIT_QUERIES).collect()
-    if not asked:
-        return 1.0
-    by_group: dict[str, tuple] = {}
-    for row in {row["node"]: row for row in asked}.values():
+    chosen = nodes.filter(unsigned_hash(F.lit(11), F.col("node")) <= min(2**63 - 1, int(2**63 * min(1.0, AUDIT_QUERIES / max(total, 1)))))
+    held: dict[str, tuple] = {}
+    by_group: dict[str, list] = {}
+    for row in chosen.select("node", "part_of", F.col("vec").cast("array<double>").alias("vec")).collect():
         by_group.setdefault(row["part_of"], []).append(row)
-    held = {g: ([r["node"] for r in rows], unit([r["vec"] for r in rows])) for g, rows in by_group.items()}
+    for g, rows in by_group.items():
+        held[g] = [r["node"] for r in rows], unit([r["vec"] for r in rows])
+    if not held:
+        return {}
     queries = nodes.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
         for batch in batches:
-            ids, groups, vecs, weights = (c.to_pylist() for c in batch.columns)
+            ids, groups, vecs = (c.to_pylist() for c in batch.columns)
             out: dict[int, int] = {}
             rows: dict[str, list[int]] = {}
             for i, g in enumerate(groups):
                 if g in queries.value:
                     rows.setdefault(g, []).append(i)
             for g, at in rows.items():
-                asked_ids, x = queries.value[g]
+                asked, x = queries.value[g]
                 near = unit([vecs[i] for i in at]) @ x.T >= threshold
-                for j, node in enumerate(asked_ids):
-                    out[node] = out.get(node, 0) + sum(weights[at[i]] for i in np.flatnonzero(near[:, j]) if ids[at[i]] != node)
+                near &= np.array([ids[i] for i in at])[:, None] != np.array(asked)[None]
+                degree = near.sum(0)
+                for j in np.flatnonzero(degree).tolist():
+                    out[asked[j]] = out.get(asked[j], 0) + int(degree[j])
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["node", "truth"])
 
-    brute = nodes.select("node", "part_of", F.col("vec").cast("array<double>").alias("vec"), "n").mapInArrow(run, "node long, truth long")
+    brute = nodes.select("node", "part_of", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "node long, truth long")
     truth = brute.groupBy("node").agg(F.sum("truth").alias("truth"))
-    row = truth.join(counts, "node", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return row["f"] / row["t"] if row["t"] else 1.0
+    share = F.least("truth", F.coalesce("pairs", F.lit(0))) / F.col("truth")
+    degrees = truth.join(counts, "node", "left").groupBy(F.floor(F.log2("truth") + 1e-9).alias("power")).agg(F.count("truth").alias("asked"), F.avg(share).alias("recall"))
+    return {1 << row["power"]: (row["asked"], row["recall"]) for row in degrees.orderBy("power").collect()}
+
+
+def _audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """The least mean recall of the classes of degree; 1 where no node asked has a link."""
+    found = _recalls(nodes, counts, threshold)
+    log.info("recall by degree: %s", "; ".join(f"{d}+: {r:.4f} of {n} nodes" for d, (n, r) in found.items()))
+    return min((r for _, r in found.values()), default=1.0)
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, least_recall: float = LEAST_RECALL) -> DataFrame:
@@ -344,7 +363,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     Vectors that are null, empty, zero or hold null or non-finite components, rows with a null label or a null
     id, and vectors of different lengths link with nothing; a row with a null id has a null component and is kept.  Equal
     vectors of a label are linked with each other.  Rows that repeat an id each return, and count as links of each
-    other where their vectors link.  Other columns are not read.  An empty table returns no rows.
+    other where their vectors link.  Other columns are not read.  An empty table returns no rows.  RuntimeError
+    if the audited recall stays below ``least_recall``.
     """
     spark = ready(table.sparkSession)
     rows = table.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("vec"))
@@ -369,10 +389,13 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         lists = dealt.groupBy("key").applyInArrow(_lists, "node long, near long")
         graph = staged(lists.groupBy("node").agg(F.collect_set("near").alias("nears")), "graph")
         joined = members.join(graph, "node", "left").repartition(parts, "key")
-        found = staged(joined.groupBy("key").applyInArrow(_found(threshold, beam), "node long, links long, a long, b long"), "found")
-        counts = staged(found.filter("node is not null").groupBy("node").agg(F.sum("links").alias("links")), "counts")
-        if _audit(nodes, counts, threshold) >= least_recall or overlap >= 64:
+        found = staged(joined.groupBy("key").applyInArrow(_found(threshold, beam), "node long, links long, pairs long, a long, b long"), "found")
+        counts = staged(found.filter("node is not null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs")), "counts")
+        recall = _audit(nodes, counts, threshold)
+        if recall >= least_recall:
             break
+        if overlap >= MOST_OVERLAP:
+            raise RuntimeError(f"recall {recall:.4f} in the worst class of degree is below {least_recall} with {overlap} shards a vector")
         overlap, beam = 2 * overlap, 2 * beam
     roots = components(found.filter("a is not null").select("a", "b"))
     every = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -329,6 +329,31 @@ def test_robust_prune_and_search():
     assert near[q, v].all() and len(q) >= 0.99 * near.sum()
 
 
+def test_audit_sees_sparse_losses(spark):
+    rng = np.random.default_rng(12)
+    dense = rng.normal(size=16) + rng.normal(size=(400, 16)) * 0.01
+    lone = rng.normal(size=(60, 16))
+    x = embeddings.unit(np.concatenate([dense, lone, lone + rng.normal(size=(60, 16)) * 0.01]).tolist())
+    near = x @ x.T >= embeddings.THRESHOLD
+    np.fill_diagonal(near, False)
+    assert near[400:].sum(1).min() >= 1
+    nodes = spark.createDataFrame([(i, "g", x[i].tolist(), 1) for i in range(len(x))], "node long, part_of string, vec array<double>, n long")
+
+    def counted(some):
+        return spark.createDataFrame([(i, d, d) for i, d in enumerate(near.sum(1).tolist()) if i in some], "node long, links long, pairs long")
+
+    assert embeddings._audit(nodes, counted(range(len(x))), embeddings.THRESHOLD) == 1
+    assert embeddings._audit(nodes, counted(range(400)), embeddings.THRESHOLD) < embeddings.LEAST_RECALL
+
+
+def test_low_recall_raises(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "OVERLAP", 64)
+    monkeypatch.setattr(embeddings, "_audit", lambda *_: 0.5)
+    table = spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(5)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="recall 0.5"):
+        embeddings.near_duplicates(table)
+
+
 # ---- classifier
 
 
