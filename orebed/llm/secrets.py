@@ -33,6 +33,8 @@ UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-F
 RUN64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A compressed layer that expands beyond this is not scanned but reported as a span of kind bomb.
 LAYER_BYTES = 64 << 20
+#: Compressed bytes given to a decompressor at once.
+FED_BYTES = 1 << 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,11 +73,12 @@ def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, list[tuple[i
     return "".join(out), pieces
 
 
-def _percent(m: re.Match) -> str | None:
+def _percent(m: re.Match) -> str:
+    data = bytes.fromhex(m.group().replace("%", ""))
     try:
-        return bytes.fromhex(m.group().replace("%", "")).decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
+        return data.decode("latin-1")
 
 
 def _unicode(m: re.Match) -> str | None:
@@ -83,51 +86,69 @@ def _unicode(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """Decompressed bytes, or None if there is no compressed stream; OverflowError beyond LAYER_BYTES."""
+def _tool(data: bytes):
+    """A decompressor for the stream that ``data`` begins with, or None."""
     import zstandard
 
     if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        tool = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-            out = stream.read(LAYER_BYTES + 1)
-        if len(out) > LAYER_BYTES:
-            raise OverflowError
-        return out
-    else:
-        return None
-    out = tool.decompress(data, LAYER_BYTES + 1)
-    if len(out) > LAYER_BYTES:
-        raise OverflowError
-    return out
-
-
-def _text_of(data: bytes) -> str | None:
-    """The text in decoded bytes, through any number of compressed layers; None if it is not text."""
-    seen = set()
-    while data and data not in seen:
-        seen.add(data)
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _fed(tool, data: bytes, room: int):
+    """Output pieces of one stream, fed in small parts so that a broken stream gives what stands before
+    the break; OverflowError beyond ``room`` bytes.  Returns the input after the stream."""
+    bounded = not type(tool).__module__.startswith("zstandard")
+    for at in range(0, len(data), FED_BYTES):
+        part = data[at : at + FED_BYTES]
+        while True:
+            out = tool.decompress(part, room + 1) if bounded else tool.decompress(part)
+            room -= len(out)
+            if room < 0:
+                raise OverflowError
+            yield out
+            part = getattr(tool, "unconsumed_tail", b"")
+            if tool.eof or not (part or bounded and not getattr(tool, "needs_input", True)):
+                break
+        if tool.eof:
+            return tool.unused_data + data[at + FED_BYTES :]
+    return b""
+
+
+def _unpacked(data: bytes) -> tuple[list[bytes], bool]:
+    """What is decoded from ``data``, and whether something expands beyond LAYER_BYTES.
+
+    Streams that follow each other are one layer; bytes that are no stream, or cannot be decompressed,
+    are a layer as they are.  Where the streams expand beyond the limit, those before stay a layer."""
+    errors = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
+    whole, rest, room = [], data, LAYER_BYTES
+    while rest:
+        tool = _tool(rest)
+        if tool is None:
+            break
+        stream, pieces = _fed(tool, rest, room), []
         try:
-            inner = _inflated(data)
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            return None
+            while True:
+                pieces.append(next(stream))
+        except StopIteration as end:
+            after = end.value
+        except OverflowError:
+            return [b"".join(whole)] if whole else [], True
         except Exception as broken:
-            if type(broken).__name__ != "ZstdError":
+            if not isinstance(broken, errors) and type(broken).__name__ != "ZstdError":
                 raise
-            return None
-        if inner is None:
+            whole += pieces
             break
-        data = inner
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text[:64]) and sum(map(str.isprintable, text)) * 10 >= 9 * len(text) else None
+        whole += pieces
+        room -= sum(map(len, pieces))
+        rest = after
+    return [part for part in (b"".join(whole), rest) if part], False
 
 
 def _base64(run: str) -> bytes | None:
@@ -140,19 +161,12 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
-def _plausible(head: bytes) -> bool:
-    """Whether decoded bytes begin like text or a compressed stream."""
-    return head[:1] in b"\x1f\x78\xfd\x28" or head[:2] == b"BZ" or all(b >= 32 or b in b"\t\r\n" for b in head) and b"\x7f" not in head
-
-
 def _runs(text: str):
-    """Start, end and decoded bytes of each base64 run that may hold something."""
+    """Start, end and decoded bytes of each base64 run."""
     for m in RUN64.finditer(text):
-        head = _base64(m.group()[:16])
-        if head is not None and _plausible(head[:4]):
-            data = _base64(m.group())
-            if data:
-                yield m.start(), m.end(), data
+        data = _base64(m.group())
+        if data:
+            yield m.start(), m.end(), data
 
 
 def _copies(text: str):
@@ -181,12 +195,10 @@ class _Inner:
     def _expand(self, kind: str, value) -> tuple[set[int], list[tuple[bytes, str, object]]]:
         """Kinds of one layer, and the layers decoded from it as (key, kind, value)."""
         if kind == "bytes":
-            try:
-                text = _text_of(value)
-            except OverflowError:
-                return {3}, []
-            following = [("text", text)] if text else []
-            found = set()
+            parts, beyond = _unpacked(value)
+            found = {3} if beyond else set()
+            # every pattern is ASCII, so that Latin-1 shows what it finds in any bytes
+            following = [("text", part.decode("latin-1")) if part == value else ("bytes", part) for part in parts]
         else:
             found = {k for _, k, _ in base_spans(value)}
             following = [("text", new[0]) for new in _copies(value) if new] + [("bytes", data) for _, _, data in _runs(value)]

@@ -582,6 +582,33 @@ def test_secrets_at_every_occurrence():
         assert {(s, 0, e), (s, 1, e)} <= set(found)
 
 
+@pytest.mark.parametrize("how", ["lines", "latin", "nul", "prefix", "tar", "broken", "trailing", "zlib-like", "percent"])
+def test_secrets_in_layers_that_are_not_plain_text(how):
+    data = SECRET.encode()
+    inner = {
+        "lines": b"\n".join([b"a: 1"] * 40) + b"\n" + data, "latin": b"caf\xe9 " + data, "nul": b"a\0" + data, "prefix": bytes(range(128, 200)) + data, "tar": data + b"\0" * 512 + bytes(range(256)),
+        "broken": gzip.compress(data + bytes(random.Random(1).randbytes(40_000)))[:-20_000] + b"\xff" * 200, "trailing": zlib.compress(b"one") + b"\0" + data, "zlib-like": b"x " + data,
+        "percent": b"%FF%" + b"%".join(b"%02x" % b for b in data),
+    }[how]
+    text = "say " + (inner.decode() if how == "percent" else base64.b64encode(inner).decode()) + " now"
+    assert {"assign", "access"} <= {secrets.KINDS[k] for _, k, _ in secrets.find(text)[1]}
+
+
+@pytest.mark.parametrize("tool", ["gzip", "zlib", "bz2", "xz", "zstd"])
+def test_secrets_in_later_streams(tool, monkeypatch):
+    import bz2
+    import lzma
+
+    import zstandard
+
+    pack = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}[tool]
+    text = base64.b64encode(pack(b"first " * 2000) + pack(b"then pass") + pack(b"word=hunter2hunter2")).decode()
+    assert secrets.find(text)[1] == [(0, 0, len(text))]
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    text = base64.b64encode(pack(b"password=hunter2hunter2") + pack(b"b " * 50_000)).decode()
+    assert secrets.find(text)[1] == [(0, 0, len(text)), (0, 3, len(text))]
+
+
 def test_pii_patterns_against_plain_ones():
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
