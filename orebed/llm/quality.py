@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import chi2_quantile, free_name, ready, staged
 
 FEATURES = ("word_len", "distinct", "length", "symbols", "dup_lines", "repeats", "upper")
-#: Least standard deviation of each feature: below it a spread is not told from zero.
-FLOOR = (0.05, 0.05, 0.30, 0.05, 0.20, 0.25, 0.05)
+#: Least standard deviation of each feature: below it a spread is not told from zero.  Those of the shares of lines and of
+#: windows are what a share of ten lines, or of the twenty windows of sixty words, moves by chance: 1 / (2 sqrt(n)).
+FLOOR = (0.05, 0.05, 0.30, 0.05, 0.16, 0.11, 0.05)
 COVER = 0.75
 STEPS = 4
 #: Documents that a (language, source) group needs for an estimate of its own.

@@ -78,6 +78,18 @@ def test_quality_rejects_outliers_and_keeps_prose(spark):
     assert found[2000]["base_failed"] and found[2001]["base_failed"] and not found[2001]["kept"]
 
 
+def test_quality_rejects_repeats_that_pass_the_base_rules(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(60, 400)), "en", "s") for i in range(600)]
+    for i in range(20):
+        block, once = prose(rng, 40), prose(rng, 120)
+        rows.append((1000 + i, f"{block} {once} {block}", "en", "s"))  # 40 % of the words in repeated windows
+        rows.append((2000 + i, "\n".join([*(prose(rng, 35) for _ in range(5)), *["ok"] * 15]), "en", "s"))  # 14 of 20 lines
+    found = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(found[i]["kept"] for i in range(600))
+    assert not any(found[i]["base_failed"] or found[i]["kept"] for i in found if i >= 1000)
+
+
 def test_concentration_step_against_a_sort():
     rng = np.random.default_rng(3)
     d = len(quality.FEATURES)
