@@ -90,20 +90,97 @@ def test_quality_rejects_repeats_that_pass_the_base_rules(spark):
     assert not any(found[i]["base_failed"] or found[i]["kept"] for i in found if i >= 1000)
 
 
-def test_concentration_step_against_a_sort():
+def test_lowest_bins_against_a_sort():
     rng = np.random.default_rng(3)
     d = len(quality.FEATURES)
     x = rng.normal(size=(500, d))
-    far = (x**2).sum(1)
-    bins = np.clip(np.floor(8 * np.log2(far + 1e-9)) + 64, 0, 255).astype(int)
-    import pandas as pd
-
+    x = x[np.argsort((x**2).sum(1))]
+    bins = np.minimum(np.arange(500) // 7, 60)  # 7 rows a bin, many in the last
     upper = np.triu_indices(d)
-    rows = [{"bin": b, "n": (bins == b).sum(), "s1": x[bins == b].sum(0), "s2": np.einsum("ni,nj->ij", x[bins == b], x[bins == b])[upper]} for b in np.unique(bins)]
-    n, mu, cov = quality._estimate(pd.DataFrame(rows), 0.75)
-    edge = next(b for b in np.unique(bins) if (bins <= b).sum() >= 375)
-    own = x[bins <= edge]
-    assert n == 500 and np.allclose(mu, own.mean(0)) and np.allclose(cov, np.cov(own.T, bias=True))
+    n = np.bincount(bins).astype(float)
+    s1 = np.stack([x[bins == b].sum(0) for b in range(61)])
+    s2 = np.stack([np.einsum("ni,nj->ij", x[bins == b], x[bins == b])[upper] for b in range(61)])
+    for cover in (0.0014, 0.5, 0.756, 0.95, 1.0):  # whole bins and parts of one
+        mu, cov = quality.lowest(n, s1, s2, cover)
+        weight = np.concatenate([np.full(int(n[b]), min(1.0, max(0.0, (500 * cover - n[:b].sum()) / n[b]))) for b in range(61)])
+        assert math.isclose(weight.sum(), 500 * cover)
+        assert np.allclose(mu, np.average(x, axis=0, weights=weight)) and np.allclose(cov, np.cov(x.T, aweights=weight, bias=True))
+
+
+def slow_estimates(x, of):
+    """Location and scatter by (lang, source): the same starts, concentrated on sorted rows until no determinant falls."""
+    d = x.shape[1]
+
+    def one(own):
+        def part(mu, cov, cover):
+            far = np.einsum("ni,ij,nj->n", own - mu, np.linalg.inv(cov), own - mu)
+            order, wanted = np.argsort(far, kind="stable"), cover * len(own)
+            weight = np.clip(wanted - np.arange(len(own)), 0, 1)
+            mu = weight @ own[order] / wanted
+            cov = (own[order] - mu).T @ (weight[:, None] * (own[order] - mu)) / wanted
+            return mu, quality.regular(cov, cover)
+
+        q = np.percentile(own, [25, 50, 75], axis=0, method="inverted_cdf")
+        near = q[1], np.diag(np.maximum(np.square(quality.FLOOR), np.square((q[2] - q[0]) / 1.349)))
+        starts = [near, (own.mean(0), np.cov(own.T, bias=True).reshape(d, d) + np.diag(np.square(quality.FLOOR))), part(*near, 0.5)]
+        best = None
+        for now in starts:
+            det = math.inf
+            while True:
+                new = part(*now, quality.COVER)
+                if np.linalg.slogdet(new[1])[1] >= det - 1e-9:
+                    break
+                now, det = new, np.linalg.slogdet(new[1])[1]
+            if best is None or det < best[0]:
+                best = det, *now
+        return len(own), *best[1:]
+
+    out = {}
+    for lang, source in set(of):
+        wide = [one(x), one(x[[g[0] == lang for g in of]]), one(x[[g == (lang, source) for g in of]])]
+        out[lang, source] = quality.lean(wide, quality.PRIOR_ROWS)
+    return out
+
+
+def test_estimates_of_small_groups_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    d = len(quality.FEATURES)
+    sizes = {("en", "a"): 400, ("en", "b"): 60, ("en", None): 9, ("fr", "a"): 40, ("fr", "b"): 1, (None, "a"): 2}
+    of, rows = [], []
+    for k, (group, n) in enumerate(sizes.items()):
+        mix = rng.normal(size=(d, d)) * 0.2 + np.eye(d)
+        own = rng.normal(size=(n, d)) @ mix + (0.3 * k if group[0] == "en" else 2.0)
+        own[: n // 6] += 9  # a clump of outliers
+        rows += own.tolist()
+        of += [group] * n
+    x = np.array(rows)
+    table = spark.createDataFrame([(*g, *map(float, r)) for g, r in zip(of, rows)], "lang string, source string, " + ", ".join(f"{c} double" for c in quality.X))
+    found = {(r["lang"], r["source"]): r for r in quality.fit(table).collect()}
+    want = slow_estimates(x, of)
+    assert set(found) == set(want) == set(sizes)
+    limit = quality.chi2_quantile(1 - quality.TAIL, d)
+    for group, (mu, cov) in want.items():
+        prec = np.array(found[group]["prec"]).reshape(d, d)
+        scale = np.sqrt(np.diag(cov))
+        assert np.abs((np.array(found[group]["mu"]) - mu) / scale).max() < 0.1
+        assert np.abs(np.linalg.slogdet(np.linalg.inv(prec))[1] - np.linalg.slogdet(cov)[1]) < 0.5
+        own = x[[g == group for g in of]]
+        far = np.einsum("ni,ij,nj->n", own - mu, np.linalg.inv(cov), own - mu)
+        got = np.einsum("ni,ij,nj->n", own - found[group]["mu"], prec, own - found[group]["mu"])
+        clear = np.abs(np.log(far / limit)) > 0.2
+        assert ((far <= limit) == (got <= limit))[clear].all()
+
+
+def test_small_languages_and_sources_are_judged(spark):
+    """However few documents a language or source has, junk in it goes and prose stays."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(60, 400)), ["en", "fr", None, "x"][min(i % 40, 3)], f"s{i % 23}") for i in range(400)]
+    junk = lambda: " ".join(w + "$$$#%&" for w in prose(rng, 100).split())
+    rows += [(1000 + i, junk(), lang, f"s{i}") for i, lang in enumerate(["fr", "fr", None, "once", "x"])]
+    found = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(r["distance"] is not None for r in found.values() if not r["base_failed"])
+    assert all(found[i]["kept"] for i in range(400))
+    assert not any(found[1000 + i]["kept"] for i in range(5))
 
 
 def test_quality_on_odd_rows(spark):
