@@ -496,6 +496,37 @@ def test_mixing(spark):
     assert len(equal) == 4 and max(equal.values()) - min(equal.values()) < 200
 
 
+def slow_copies(key, rate, seed="mix"):
+    parts = max(1, math.ceil(rate / mixing.PART_RATE))
+    part, count = rate / parts, 0
+    for j in range(parts):
+        u = (int(hashlib.md5((f"{seed}/{j}:{key}" if j else f"{seed}:{key}").encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, term = 0, math.exp(-part)
+        total = term
+        while total < u:
+            k += 1
+            term *= part / k
+            total += term
+        count += k
+    return count
+
+
+def test_mixing_rare_sources(spark):
+    """Few documents of a source with a large share: rates beyond one part, beyond one stride, and of ten million."""
+    rows = [(i, "t", "en", "hot") for i in range(2000)] + [(5000 + i, "t", "en", "rare") for i in range(3)] + [(6000, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = mixing.mix(docs, total=200_000).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("copy").alias("low"), F.max("copy").alias("high"), F.countDistinct("copy").alias("all"), F.max("copies").alias("copies")).collect()
+    by = {r["doc_id"]: r for r in found}
+    rate = 200_000 / 3
+    for i in (5000, 5001, 5002, 6000):
+        want = slow_copies(i, rate / 3 if i < 6000 else rate)
+        assert by[i]["n"] == by[i]["high"] == by[i]["all"] == by[i]["copies"] == want and by[i]["low"] == 1
+    assert abs(by[6000]["n"] - rate) < 6 * math.sqrt(rate)
+    assert abs(sum(by[i]["n"] for i in by if i < 2000) - rate) < 6 * math.sqrt(rate)
+    large = mixing.replicate(docs.filter("source is null or doc_id < 100"), total=2e7).filter("source is null and copy <= 3").select("copies").collect()
+    assert len(large) == 3 and abs(large[0]["copies"] - 1e7) < 6 * math.sqrt(1e7)
+
+
 def test_mixing_odd_rows(spark):
     found = mixing.mix(odd_docs(spark))
     assert set(odd_docs(spark).columns) <= set(found.columns)
