@@ -684,7 +684,7 @@ def test_secrets_in_layers(wrap):
 def test_secrets_end_on_cycles_and_bombs(monkeypatch):
     assert secrets.find("%2525252525 &#38;#38; \\u005cu005c " * 20)[0] == []
     monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
-    text = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
+    text = base64.b64encode(zlib.compress(b"x" * 100_000)).decode()
     assert secrets.find(text)[1] == [(0, 3, len(text))]
 
 
@@ -729,6 +729,46 @@ def test_secrets_in_later_streams(tool, monkeypatch):
     assert secrets.find(text)[1] == [(0, 0, len(text)), (0, 3, len(text))]
 
 
+LONGER = "some longer words that come first and " * 3 + SECRET
+
+
+@pytest.mark.parametrize("how", ["path", "name", "zlib path", "one more", "utf-16", "utf-16-le", "utf-16-be", "packed utf-16", "members", "inside"])
+def test_secrets_out_of_place(how):
+    """Base64 after a path or name, of UTF-16, with a sign too many, with a stream in the middle: the span is the run."""
+    data, enc = SECRET.encode(), lambda b: base64.b64encode(b).decode()
+    run = {
+        "path": lambda: "/data/x/" + enc(data), "name": lambda: "key-a_b-" + enc(gzip.compress(data)), "zlib path": lambda: "store/keys/" + enc(zlib.compress(data)), "one more": lambda: enc(data) + "A",
+        "packed utf-16": lambda: enc(gzip.compress(SECRET.encode("utf-16"))), "members": lambda: enc(gzip.compress(b"one") + gzip.compress(data)), "inside": lambda: enc(b"\x00\x01head" + gzip.compress(data) + b"tail"),
+    }.get(how, lambda: enc(SECRET.encode(how)))()
+    assert secrets.find(f"say {run} now")[1] == [(4, 0, 4 + len(run)), (4, 1, 4 + len(run))]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n", "\\r\\n"])
+def test_secrets_in_base64_lines(end):
+    whole = base64.b64encode(gzip.compress(LONGER.encode(), mtime=0)).decode()
+    lines = end.join(whole[i : i + 64] for i in range(0, len(whole), 64))
+    assert secrets.find(f"BEGIN {lines} END")[1] == [(6, 0, 6 + len(lines)), (6, 1, 6 + len(lines))]
+    # of a plain layer the lines that hold a secret say so themselves
+    whole = base64.b64encode(LONGER.encode()).decode()
+    text = "\n".join(whole[i : i + 200] for i in range(0, len(whole), 200))
+    assert {k for _, k, _ in secrets.find(text)[1]} == {0, 1}
+
+
+def test_large_layers_take_bounded_memory():
+    """A gigabyte from a megabyte: scanned to its end in windows."""
+    import tracemalloc
+
+    tool = zlib.compressobj(9)
+    data = b"".join(tool.compress(b"\0" * (1 << 20)) for _ in range(1024)) + tool.compress(b" " + SECRET.encode()) + tool.flush()
+    text = base64.b64encode(data).decode()
+    tracemalloc.start()
+    try:
+        assert secrets.find(text)[1] == [(0, 0, len(text)), (0, 1, len(text)), (0, 3, len(text))]
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_pii_patterns_against_plain_ones():
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
