@@ -1,13 +1,14 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-The patterns give base spans.  The field adds spans: its nodes are the words with a digit or an at
-sign and the words equal to a part of a base span; all other words are outside by definition.
-Neighbouring nodes share a chain potential, and occurrences of the same or a similar word (case, outer punctuation,
-digits alone, the name before an at sign), however far apart, share a skip potential; each
-occurrence is tied to the next one, so links grow with the text and not with its square.  Loopy
-sum-product passes over both kinds of links carry the label of a certain mention to uncertain ones.
-Words inside base spans are observed.  The weights are trained here, by pseudo-likelihood on
-generated labelled sentences.
+The patterns give base spans.  The field adds spans, of people's names too.  Its nodes are the base spans, word by word, the words with a
+digit or an at sign, and every word that is similar to a node, directly or over other words; a word that is
+similar to none is outside by definition.  Neighbouring nodes share a chain potential (beside words that are no
+nodes it is part of the node's own features), and occurrences of the same or a similar word (case, outer punctuation, digits
+alone, the name before an at sign and its parts), however far apart, share skip potentials: each occurrence is tied to the next
+one and all to one of them, a certain one if there is one, so links grow with the text and not with its square and two links
+lead anywhere.  Loopy sum-product passes over both kinds of links, until the messages settle, carry the label of a certain
+mention to uncertain ones.  Words inside base spans are observed.  The weights are trained here, by
+pseudo-likelihood on generated labelled sentences.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 
 from .spans import detect, has_any, redact
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "name")
+BASE_KINDS = KINDS[:4]
 LABELS = ("outside", *KINDS)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -34,8 +36,12 @@ OUTER = ".,;:!?\"'()[]{}<>"
 DIGIT = re.compile(r"[0-9]")
 #: Words that announce an entity.
 CUES = {"mail": 1, "email": 1, "write": 1, "ip": 2, "host": 2, "server": 2, "card": 3, "visa": 3, "pay": 3, "phone": 4, "call": 4, "tel": 4, "dial": 4}
-FEATURES = ("bias", "at", "dots3", "digits_only", "d1_4", "d5_8", "d9_11", "d12_19", "d20", "letters", "equals", "slash", "plus", "paren", "dash", "cue1", "cue2", "cue3", "cue4", "dot", "evidence")
-PASSES = 12
+FEATURES = (
+    "bias", "at", "dots3", "digits_only", "d1_4", "d5_8", "d9_11", "d12_19", "d20", "letters", "equals", "slash", "plus", "paren", "dash", "cue1", "cue2", "cue3", "cue4", "dot", "tied", "tied_certain",
+    "digit", "capital", "sentence", "lower", "alone", "capital_sentence", "lower_plain", "left_out", "right_out",
+)
+#: Rounds of messages at most; they end as soon as no message moves by SETTLED.
+PASSES, SETTLED = 400, 1e-4
 OBSERVED = 12.0
 
 
@@ -78,69 +84,104 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+SPLIT = re.compile(r"[._%+-]+")
+
+
 def _keys(core: str) -> list[str]:
-    """What makes two words similar: the lower-cased core, its digits, the name and host of an address."""
+    """What makes two words similar: the lower-cased core, its digits, the name of an address, and the parts of a name or plain word."""
     low = core.lower()
-    found = [low] if len(low) >= 4 else []
+    found = [low] if len(low) >= 3 else []
     digits = "".join(c for c in low if "0" <= c <= "9")
-    if len(digits) >= 4 and digits != low:
+    if len(digits) >= 4:
         found.append("#" + digits[-10:])
-    elif len(digits) >= 4:
-        found.append("#" + low[-10:])
-    if "@" in low:
-        name = low.split("@")[0]
-        if len(name) >= 4:
-            found.append(name)
-    return found
+    name, at, _ = low.partition("@")
+    if at and len(name) >= 3:
+        found.append(name)
+    if at or not digits:
+        found += [x for part in SPLIT.split(name) if len(x := part.strip("0123456789")) >= 3]
+    return list(dict.fromkeys(found))
+
 
+def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, int, bool, bool]]:
+    """(start, end, core, word before, observed label, whether plain words stand before and after) of the field's nodes in text order.
 
-def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, int]]:
-    """(start, end, core, word before, observed label) of the field's nodes in text order."""
+    A word that base spans touch gives a node for each of them."""
     base = sorted(base)
+    found, plain = [], []  # (word number, start, end, core, label)
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    known = set()
-    for s, k, e in base:
-        if k == 0:
-            known.update(_keys(text[s:e]))
-    out, j, before = [], 0, ""
-    for s, e in words:
+    j = 0
+    for w, (s, e) in enumerate(words):
         while j < len(base) and base[j][2] <= s:
             j += 1
-        label = 0
-        if j < len(base):
-            label = max((k + 1 for a, k, b in base[j : j + 4] if a < e and b > s), default=0)
+        i, own = j, []
+        while i < len(base) and base[i][0] < e:
+            if base[i][2] > s:
+                own.append((w, max(s, base[i][0]), min(e, base[i][2]), base[i][1] + 1))
+            i += 1
+        if own:
+            found += [(w, a, b, text[a:b], k) for w, a, b, k in own]
+            continue
         word = text[s:e]
         core = word.strip(OUTER)
-        if core and (label or "@" in core or DIGIT.search(core) or (known and core.lower() in known)):
+        if core:
             a = s + word.index(core)
-            out.append((a, a + len(core), core, before, label))
-        before = word
+            (found if "@" in core or DIGIT.search(core) else plain).append((w, a, a + len(core), core, 0))
+    known = {k for f in found for k in _keys(f[3]) if k[0] != "#"}
+    while known and plain:  # words similar to nodes are nodes
+        new, rest = [], []
+        for p in plain:
+            (rest if known.isdisjoint(_keys(p[3])) else new).append(p)
+        if not new:
+            break
+        found += new
+        plain, known = rest, {k for p in new for k in _keys(p[3])} - known
+    found.sort()
+    taken = {f[0] for f in found}
+    out = []
+    for w, a, b, core, label in found:
+        before = text[slice(*words[w - 1])] if w else ""
+        out.append((a, b, core, before, label, w > 0 and w - 1 not in taken, w + 1 < len(words) and w + 1 not in taken))
     return out
 
 
-def features(core: str, before: str, evidence: bool) -> list[float]:
+def features(node: tuple, tied: int) -> list[float]:
+    """FEATURES of a node; ``tied``: 0 to nothing, 1 to another mention, 2 to a certain one."""
+    _, _, core, before, _, left, right = node
     digits = sum("0" <= c <= "9" for c in core)
     cue = CUES.get(before.strip(OUTER).lower(), 0)
+    capital, first, lower = core[:1].isupper(), not before or before[-1] in ".!?:", core == core.lower()
+    plain = not digits and "@" not in core
     return [
         1, "@" in core, core.count(".") == 3, digits == len(core), 1 <= digits <= 4, 5 <= digits <= 8, 9 <= digits <= 11, 12 <= digits <= 19, digits >= 20,
         any(c.isalpha() for c in core), "=" in core, "/" in core, core[:1] == "+", "(" in core or ")" in core, "-" in core,
-        cue == 1, cue == 2, cue == 3, cue == 4, "." in core, evidence,
+        cue == 1, cue == 2, cue == 3, cue == 4, "." in core, tied > 0, tied > 1,
+        digits > 0, capital, first, lower, core.isalpha(), capital and first, lower and plain and core.isalpha(), left, right,
     ]
 
 
 def links(found: list[tuple], text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain links of neighbouring nodes, and skip links of each similar word to its next occurrence."""
+    """Chain links of neighbouring nodes, and skip links of similar words: each to the next, and all to one of them, the first certain one or else the first."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if not text[found[i][1] : found[i + 1][0]].strip(OUTER + " \t\n\x0b\x0c\r+")]
-    last: dict[str, int] = {}
-    skip = set()
+    by: dict[str, list[int]] = {}
     for i, node in enumerate(found):
         for key in _keys(node[2]):
-            if key in last and last[key] != i:
-                skip.add((last[key], i))
-            last[key] = i
+            by.setdefault(key, []).append(i)
+    skip = set()
+    for own in by.values():
+        centre = next((i for i in own if found[i][4]), own[0])
+        skip.update((min(i, centre), max(i, centre)) for i in own if i != centre)
+        skip.update(zip(own, own[1:], strict=False))
     return chain, sorted(skip)
 
 
+def _tied(found: list[tuple], skip: list[tuple[int, int]]) -> list[int]:
+    tied = [0] * len(found)
+    for i, j in skip:
+        tied[i] = max(tied[i], 2 if found[j][4] else 1)
+        tied[j] = max(tied[j], 2 if found[i][4] else 1)
+    return tied
+
+
 def marginals(unary: np.ndarray, pairs: np.ndarray, potentials: np.ndarray, passes: int = PASSES) -> np.ndarray:
     """Loopy sum-product in logarithms: unary (n, L), pairs (m, 2), potentials (m, L, L)."""
     n, size = unary.shape
@@ -157,7 +198,7 @@ def marginals(unary: np.ndarray, pairs: np.ndarray, potentials: np.ndarray, pass
         new_a = np.logaddexp.reduce((belief[b] - to_b)[:, None, :] + potentials, axis=2)
         new_b -= np.logaddexp.reduce(new_b, axis=1)[:, None]
         new_a -= np.logaddexp.reduce(new_a, axis=1)[:, None]
-        still = max(np.abs(new_b - to_b).max(), np.abs(new_a - to_a).max()) < 1e-4
+        still = max(np.abs(new_b - to_b).max(), np.abs(new_a - to_a).max()) < SETTLED
         to_b, to_a = (to_b + new_b) / 2, (to_a + new_a) / 2
         if still:
             break
@@ -174,8 +215,7 @@ def decode(text: str, base: list[tuple[int, int, int]], model: tuple) -> list[tu
         return []
     weights, chain_w, skip_w = model
     chain, skip = links(found, text)
-    tied = {i for p in skip for i in p}
-    x = np.array([features(f[2], f[3], i in tied) for i, f in enumerate(found)], float)
+    x = np.array([features(f, t) for f, t in zip(found, _tied(found, skip), strict=True)], float)
     unary = x @ weights
     for i, f in enumerate(found):
         if f[4]:
@@ -197,26 +237,30 @@ def decode(text: str, base: list[tuple[int, int, int]], model: tuple) -> list[tu
 
 
 def training_texts(n: int = 1000, seed: int = 7) -> list[tuple[str, list[int]]]:
-    """Generated sentences and the label of each word: strict mentions, loose repeats of them, and numbers that are none."""
+    """Generated sentences and the label of each word: strict mentions, loose repeats of them, names, and numbers and words that are none."""
     rng = random.Random(seed)
     filler = "we met the other team and they said it was fine to go on with our plan for now so please keep this".split()
+    roles = "support sales info office news help contact desk team service press".split()
     out = []
     for _ in range(n):
         words: list[tuple[str, int]] = []
-        name = "".join(rng.choice("bcdfghklmnoprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+        name, last = ("".join(rng.choice("bcdfghklmnoprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(2))
         number = "".join(rng.choice("0123456789") for _ in range(10))
         ip = ".".join(str(rng.randint(1, 255)) for _ in range(4))
         card = "".join(rng.choice("0123456789") for _ in range(15))
         card += next(d for d in "0123456789" if luhn(card + d))
-        user = f"{name}.{rng.randint(10, 99)}"
+        role = rng.choice(roles) if rng.random() < 0.3 else ""
+        user = role or rng.choice([f"{name}.{rng.randint(10, 99)}", f"{name}.{last}", f"{name}_{last}", f"{name}{rng.randint(1, 99)}", last])
+        given, family = name.capitalize(), last.capitalize()
         strict = {
             1: [f"{user}@mail{rng.randint(0, 9)}.example.com"],
             2: [ip],
             3: [card],
             4: ["+1", f"({number[:3]})", f"{number[3:6]}-{number[6:]}"],
         }
+        called = [given, family] if name in user and last in user else [given if name in user else family]
         loose = {
-            1: [[user], [user + ","], [f"{user}@mail"]],
+            1: [[f"{user}@mail"]] if role else [[(user, 1 if re.search("[0-9._]", user) else 0)], [(user + ",", 1 if re.search("[0-9._]", user) else 0)], [f"{user}@mail"], *[[(x, 5) for x in called]] * 2, [("fine.", 0), *[(x, 5) for x in called]], [(called[-1] + rng.choice([".", ",", ""]), 5)]],
             2: [[f"{ip}:80"], [f"({ip})"]],
             3: [[f"{card[:8]}x{card[8:]}"], [f"no.{card}"]],
             4: [[f"({number[:3]})", f"{number[3:6]}-{number[6:]}"], [f"{number[:3]}-{number[3:6]}-{number[6:]}"], [number]],
@@ -225,23 +269,27 @@ def training_texts(n: int = 1000, seed: int = 7) -> list[tuple[str, list[int]]]:
             lambda: str(rng.randint(1, 2100)), lambda: f"{rng.randint(1, 99)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
             lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}", lambda: f"{rng.randint(1, 99)}%", lambda: "%032x" % rng.getrandbits(128), lambda: f"password={rng.getrandbits(64):x}",
             lambda: f"{rng.randint(10000, 99999)}", lambda: f"A{rng.randint(100, 99999)}", lambda: f"{rng.randint(1, 9)}th", lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJ234567") for _ in range(16)),
-            lambda: f"{rng.randint(1, 12)}:{rng.randint(10, 59)}", lambda: "@home", lambda: f"{rng.randint(10**11, 10**15)}", lambda: str(rng.randint(10**8, 10**10)),
+            lambda: f"{rng.randint(1, 12)}:{rng.randint(10, 59)}", lambda: "@home", lambda: "%040X" % rng.getrandbits(160), lambda: f"{rng.randint(10**15, 10**16 - 1)}", lambda: f"{rng.randint(10**11, 10**15)}", lambda: str(rng.randint(10**8, 10**10)),
         ]
         present = rng.sample([1, 2, 3, 4], rng.randint(0, 3))
         parts = [(strict[k], k) for k in present]
         for k in present:
             if rng.random() < 0.7:
                 parts += [(rng.choice(loose[k]), k) for _ in range(rng.randint(1, 2))]
+        if 1 in present:  # words of the address that are no mention of a person
+            for _ in range(rng.randint(0, 3)):
+                word = role or rng.choice(["mail", "example", name, last])
+                parts.append(([rng.choice(["so.", "now.", "fine!"]), word.capitalize()] if role and rng.random() < 0.4 else [word], 0))
         noise = [other[rng.randrange(len(other))]() for _ in range(rng.randint(1, 6))]
         parts += [([w], 0) for w in noise]
         if rng.random() < 0.4:
-            parts.append(([rng.choice(noise)], 0))
+            parts += [([rng.choice(noise)], 0)] * rng.randint(1, 4)
         rng.shuffle(parts)
         for got, k in parts:
             words += [(rng.choice(filler), 0) for _ in range(rng.randint(1, 6))]
             if k and rng.random() < 0.3:
                 words.append((rng.choice([c for c, v in CUES.items() if v == k]), 0))
-            words += [(w, k) for w in got]
+            words += [w if isinstance(w, tuple) else (w, k) for w in got]
         out.append((" ".join(w for w, _ in words), [k for _, k in words]))
     return out
 
@@ -258,7 +306,7 @@ def train(steps: int = 500, rate: float = 0.05, decay: float = 0.0002) -> tuple[
         places = sorted(start)
         true = [start[max(p for p in places if p <= f[0])] for f in found]
         chain, skip = links(found, text)
-        tied = {i for p in skip for i in p}
+        tied = _tied(found, skip)
         lo, hi, sk = (np.zeros((len(found), size)) for _ in range(3))
         for i, j in chain:
             lo[j, true[i]] += 1
@@ -268,7 +316,7 @@ def train(steps: int = 500, rate: float = 0.05, decay: float = 0.0002) -> tuple[
             sk[j, true[i]] += 1
         for i, f in enumerate(found):
             if not f[4]:  # observed nodes tell nothing about the weights
-                xs.append(features(f[2], f[3], i in tied))
+                xs.append(features(f, tied[i]))
                 ys.append(true[i])
                 left.append(lo[i])
                 right.append(hi[i])
@@ -294,7 +342,7 @@ def train(steps: int = 500, rate: float = 0.05, decay: float = 0.0002) -> tuple[
 
 
 def finder(model: tuple):
-    """find(text) -> base spans, all spans, under a trained model."""
+    """find(text) -> base spans, all spans, under a trained model.  Without a digit and an at sign there is no node."""
 
     def find(text: str) -> tuple[list, list]:
         if not has_any(text.encode(), b"0123456789@"):

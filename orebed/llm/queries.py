@@ -58,7 +58,7 @@ def op9_secrets(spark, sf_dir):
 
 
 def op10_pii(spark, sf_dir):
-    return spans.digest(pii.scan(table(spark, sf_dir, "documents")), pii.KINDS)
+    return spans.digest(pii.scan(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_html, op3_warc, op4_packing, op5_embeddings, op6_classifier, op7_mixing, op8_simhash, op9_secrets, op10_pii)}
