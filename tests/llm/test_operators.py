@@ -215,9 +215,56 @@ def test_viterbi_is_the_best_path():
         assert html.viterbi(blocks, (weights, t)) == list(best)
 
 
+BODY = "<h1>A fine title</h1><p>The first paragraph has a number of words in it, so it is text.</p><p>The second one follows and says a bit more than that.</p>"
+BODY_TEXT = "A fine title\nThe first paragraph has a number of words in it, so it is text.\nThe second one follows and says a bit more than that."
+MENU = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li><li><a href=z>Contact us</a></li></ul></nav>"
+#: Pages written by hand, apart from the generator, and their text.
+LAYOUTS = [
+    ("<p>Just one paragraph of text here.</p>", "Just one paragraph of text here."),
+    ("Plain text without a tag.", "Plain text without a tag."),
+    ("<article><p>Save with <button>Save</button> now, where <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> holds.</p><p>Then go on as before.</p></article>", "Save with now, where x<2 holds.\nThen go on as before."),
+    ("<article><p>One is here.</p><noscript><p>Two is for readers without scripts.</p></noscript><p>Three ends it.</p></article>", "One is here.\nTwo is for readers without scripts.\nThree ends it."),
+    ("<article><p>An icon <svg><svg><text>in</text></svg><text>label</text></svg> stays out of it.</p><p>Nothing leaks.</p></article>", "An icon stays out of it.\nNothing leaks."),
+    ("<article><p>A <button>never closed does no harm.</p><p>The text stays whole.</p><object><p>So does what an object holds.</p></object></article>", "A never closed does no harm.\nThe text stays whole.\nSo does what an object holds."),
+    (
+        f"<html><body><div id=top-bar><ul><li><a href=1>Front</a></li><li><a href=2>Sport</a></li><li><a href=3>Culture</a></li></ul></div><div class=grid><div class=col-8>{BODY}<blockquote>Somebody said that it was so.</blockquote></div></div>"
+        "<div class='cookie-banner'>We use cookies to improve your visit.</div><footer>&copy; 2021 The Paper. All rights reserved.</footer></body></html>",
+        BODY_TEXT + "\nSomebody said that it was so.",
+    ),
+    (
+        f"{MENU}<main>{BODY}<ul><li>first point of it</li><li>second point of it</li></ul></main><section id=comments><h3>2 comments</h3><div class=comment><p>I liked this a lot!</p></div><div class=comment><p>I did not, sorry.</p></div></section>"
+        "<aside><h3>Related</h3><p><a href=q>Another story</a></p></aside><form><label>Name</label><input><p>Sign up here.</p></form>",
+        BODY_TEXT + "\nfirst point of it\nsecond point of it",
+    ),
+]
+
+
+@pytest.mark.parametrize("page, want", LAYOUTS)
+def test_html_layouts_written_apart(page, want):
+    assert html.extract(page, html.train()) == want
+
+
+@pytest.mark.parametrize("frame", ["{}", MENU + "{}<footer>&copy; 2020 Acme</footer>"])
+@pytest.mark.parametrize("box", ["{}", "<div>{}</div>", '<div class="x1">{}</div>', '<div class="news-item">{}</div>', '<div id="artikel">{}</div>', "<section>{}</section>", "<div><div><section>{}</section></div></div>", "<table><tr><td>{}</td></tr></table>"])
+def test_html_articles_in_any_container(box, frame):
+    assert html.extract(f"<html><body>{frame.format(box.format(BODY))}</body></html>", html.train()) == BODY_TEXT
+
+
+@pytest.mark.parametrize("unit", ["<div>a", "<p><div><b>", "</p>", "<svg>", "<svg></svg><svg>", "<li>", "<button>", "<a>x</b>"])
+def test_html_deep_pages_take_linear_time(unit):
+    import time
+
+    model, taken = html.train(), []
+    for n in (10_000, 100_000):
+        began = time.process_time()
+        html.extract("<article><p>text " + unit * n, model)
+        taken.append(time.process_time() - began)
+    assert taken[1] < 40 * max(taken[0], 0.05)
+
+
 def test_blocks_of_broken_pages():
     page = '<nav><li><a href="x>y">m</a></nav><article><h1>T &amp; t</h1><p><b>one<br>two<p>three &lt;x&gt; &nbsp;q<ul><li>a<li>b</ul><script>"</p>"</script><!-- c --></article>tail'
-    assert [b["text"] for b in html.blocks(page)] == ["m", "T & t", "one two", "three <x> q", "a", "b", "tail"]
+    assert [b[0] for b in html.blocks(page)] == ["m", "T & t", "one two", "three <x> q", "a", "b", "tail"]
     for odd in ("", "<", "<p", "<!--", "<script>x", "a<b", "</p></div>", "<p class='", "<" * 500, "&#xFFFFFFFF;"):
         html.blocks(odd)
 
