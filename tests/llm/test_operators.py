@@ -453,16 +453,53 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def slow_prune(x, at, pool):
+    far = {i: 2 - 2 * x[at] @ x[i] for i in pool}
+    kept = []
+    for i in sorted(pool, key=far.get):
+        if len(kept) < embeddings.DEGREE and all(embeddings.ALPHA * (2 - 2 * x[i] @ x[j]) > far[i] for j in kept):
+            kept.append(i)
+    return kept
+
+
 def test_robust_prune_and_search():
     rng = np.random.default_rng(11)
     x = embeddings.unit(np.concatenate([rng.normal(size=(300, 16)), rng.normal(size=16) + rng.normal(size=(100, 16)) * 0.02]).tolist())
-    kept = embeddings.robust_prune(x, 0, np.arange(1, 300))
-    far = 2 - 2 * x @ x[0]
-    assert kept[0] == 1 + np.argmin(far[1:300]) and len(kept) <= embeddings.DEGREE
-    q, v = embeddings.search(x, embeddings.build(x))
+    pools = np.stack([np.concatenate([np.setdiff1d(rng.permutation(300)[:60], [i])[:50], [-1] * 5]) for i in range(20)])
+    ordered, kept = embeddings.robust_prune(x, np.arange(20), pools)
+    for i in range(20):
+        assert ordered[i][kept[i]].tolist() == slow_prune(x, i, [j for j in pools[i].tolist() if j >= 0])
     near = x @ x.T >= 0.98
     np.fill_diagonal(near, False)
+    q, v = embeddings.search(x, embeddings.build(x), np.array([embeddings.medoid(x)]))
     assert near[q, v].all() and len(q) >= 0.99 * near.sum()
+    # only by way of other shards' lists: each shard alone does not hold the pair
+    halves = [np.arange(0, 250), np.arange(150, 400)]
+    lists = [set() for _ in range(400)]
+    for own in halves:
+        for i, some in zip(own, embeddings.build(x[own])):
+            lists[i].update(own[some].tolist())
+    y = x.copy()
+    y[390] = embeddings.unit([y[10] + rng.normal(size=16) * 0.02])[0]
+    lists = [set() for _ in range(400)]
+    for own in halves:
+        for i, some in zip(own, embeddings.build(y[own])):
+            lists[i].update(own[some].tolist())
+    q, v = embeddings.search(y, [np.array(sorted(own), np.int64) for own in lists], np.array([embeddings.medoid(y[own]) for own in halves]))
+    assert (10, 390) in set(zip(q.tolist(), v.tolist()))
+
+
+def test_pairs_that_share_no_shard(spark, monkeypatch):
+    """Each vector in one shard only: the search on the united graph of a region still finds pairs across shards."""
+    monkeypatch.setattr(embeddings, "OVERLAP", 2)
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(700, 32))
+    pairs = base[:300] + rng.normal(size=(300, 32)) * 0.15
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, pairs]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = collections.Counter(tuple(r) for r in embeddings.near_duplicates(table).collect())
+    assert found == brute_links([(i, np.array(v, np.float32).tolist(), g) for i, v, g in rows])
 
 
 def test_audit_sees_sparse_losses(spark):
