@@ -29,7 +29,7 @@ log = logging.getLogger(__name__)
 
 THRESHOLD = 0.98
 #: Members a shard should have, shards a region should have, the most members that a region may have before it is cut.
-SHARD_ROWS, REGION_SHARDS, CHUNK_ROWS = 250, 4, 3000
+SHARD_ROWS, REGION_SHARDS, CHUNK_ROWS = 250, 2, 3000
 #: The most pivots in all, and the most bytes of them that are broadcast.
 PIVOTS, PIVOT_BYTES = 50_000, 64 << 20
 OVERLAP = 3
@@ -145,11 +145,16 @@ def search(x: np.ndarray, lists: list, starts: np.ndarray, threshold: float = TH
     np.fill_diagonal(seen, True)
     q_all, v_all = [], []
 
+    place = np.empty(n * n, np.int32)
+
     def visit(q, v):
-        """Score the unseen of the pairs (q, v)."""
+        """Score the unseen of the pairs (q, v), each once."""
         keep = v >= 0
         flat = q[keep] * n + v[keep]
-        flat = np.unique(flat[~seen.ravel()[flat]])
+        flat = flat[~seen.ravel()[flat]]
+        turn = np.arange(len(flat), dtype=np.int32)
+        place[flat] = turn
+        flat = flat[place[flat] == turn]
         q, v = flat // n, flat % n
         seen[q, v] = True
         score = np.empty(len(q), np.float32)
@@ -170,12 +175,12 @@ def search(x: np.ndarray, lists: list, starts: np.ndarray, threshold: float = TH
         # merge what was scored into the beams
         order = np.lexsort((-s, q))
         q, v, s = q[order], v[order], s[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        own = place < beam
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        own = rank < beam
         add_ids = np.full((n, beam), -1, np.int64)
         add_scores = np.full((n, beam), -2, np.float32)
-        add_ids[q[own], place[own]] = v[own]
-        add_scores[q[own], place[own]] = s[own]
+        add_ids[q[own], rank[own]] = v[own]
+        add_scores[q[own], rank[own]] = s[own]
         ids, scores = np.concatenate([ids, add_ids], 1), np.concatenate([scores, add_scores], 1)
         done = np.concatenate([done, add_ids < 0], 1)
         best = np.argsort(-scores, axis=1, kind="stable")[:, :beam]
