@@ -265,7 +265,7 @@ def minhash_signatures(spark, d):
 @query(f"WITH {TOKENS}, {_signature_sql('rows', 'pairs')} SELECT a, b FROM candidates")
 def lsh_candidates(spark, d):
     count, bands = L.PRESETS["pairs"]
-    return L.candidate_pairs(L.signatures(A.document_tokens(spark, d), count=count), bands)
+    return L.candidate_pairs(L.minima(A.document_tokens(spark, d), count=count), count, bands)
 
 
 def _lsh_pairs(spark, d):
