@@ -5,10 +5,12 @@
     python -m orebed.cli cities REVIEWS BUSINESSES OUT_A OUT_B
     python -m orebed.cli itemsets CASE SUPPORT IN OUT
     python -m orebed.cli large-itemsets THRESHOLD SUPPORT IN OUT
-    python -m orebed.cli similar IN OUT
+    python -m orebed.cli similar IN OUT [--truth PAIRS]
     python -m orebed.cli predict TRAIN TEST CASE OUT
     python -m orebed.cli labels THRESHOLD IN OUT
     python -m orebed.cli communities THRESHOLD IN OUT_BETWEENNESS OUT_COMMUNITIES
+
+All take --shuffle-partitions N.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from orebed.operators import itemsets as I
 from orebed.operators import lsh as L
 from orebed.operators import recommend as R
 from orebed.operators import statistics as S
+from orebed.plans.staging import staged
 from orebed.sources import readers, sinks
 
 
@@ -51,7 +54,7 @@ def partitions(spark: SparkSession, a) -> None:
 
 def cities(spark: SparkSession, a) -> None:
     found = S.average_by_city(readers.reviews(spark, a.reviews), readers.businesses(spark, a.businesses))
-    sinks.write_csv(found, a.out_a)
+    sinks.write_text(sinks.plain_lines(found), a.out_a)
     for row in found.limit(10).collect():
         print(f"{row['city']},{row['stars']:0.1f}")
     _dump(S.first_rows_report(found), a.out_b)
@@ -81,13 +84,18 @@ def large_itemsets(spark: SparkSession, a) -> None:
 
 def similar(spark: SparkSession, a) -> None:
     count, bands = L.PRESETS["pairs"]
-    found = L.similar_pairs(readers.user_business(spark, a.source).distinct(), 0.5, count, bands)
-    sinks.write_csv(found.orderBy("a", "b").select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"), "similarity"), a.out)
+    found = staged(L.similar_pairs(readers.user_business(spark, a.source).distinct(), 0.5, count, bands), "similar")
+    named = found.orderBy("a", "b").select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"), "similarity")
+    sinks.write_file(sinks.plain_lines(named, header_separator=", "), a.out)
+    if a.truth:
+        low, high = F.least("business_id_1", "business_id_2"), F.greatest("business_id_1", "business_id_2")
+        truth = readers.truth_pairs(spark, a.truth).select(low.alias("a"), high.alias("b")).distinct()
+        print(L.precision_recall(found, truth).first().asDict())
 
 
 def predict(spark: SparkSession, a) -> None:
     train, test = readers.ratings(spark, a.train), readers.ratings(spark, a.test)
-    sinks.write_csv(R.predict(train, test, a.case), a.out)
+    sinks.write_file(sinks.plain_lines(R.predict(train, test, a.case), header_separator=", "), a.out)
 
 
 def _edges(spark: SparkSession, a) -> DataFrame:
@@ -123,14 +131,20 @@ def parser() -> argparse.ArgumentParser:
         for p in parameters:
             key, _, kind = p.partition(":")
             job.add_argument(key, type=int if kind else str)
+        job.add_argument("--shuffle-partitions", type=int)
         if name == "stats":
             job.add_argument("--year", type=int, default=2018)
+        if name == "similar":
+            job.add_argument("--truth")
     return top
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(arguments)
-    JOBS[a.job][0](spark or SparkSession.builder.appName(f"orebed {a.job}").getOrCreate(), a)
+    spark = spark or SparkSession.builder.appName(f"orebed {a.job}").getOrCreate()
+    if a.shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(a.shuffle_partitions))
+    JOBS[a.job][0](spark, a)
 
 
 if __name__ == "__main__":

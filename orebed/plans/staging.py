@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (local tests) a folder is made and set."""
+    """``spark.checkpoint.dir``.  Where that is unset, a folder of this machine is made and set in local mode; a cluster
+    has no such folder, so there the call raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="orebed-")
@@ -22,4 +25,16 @@ def staged(df: DataFrame, name: str = "round") -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends, executors may be lost."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/orebed/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a ``staged`` round that no later plan reads."""
+    delete(df.sparkSession, df.staged_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -17,12 +17,15 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, compat_header: bool = False, min_partitions: int | None = None) -> DataFrame:
-    """CSV with a header line.  ``compat_header`` also drops later lines equal to the column names."""
+    """CSV with a header line.  ``compat_header`` also drops later lines equal to the column names.  ``min_partitions``
+    is a hint to the scan, which splits its files into at least so many parts where they are large enough; nothing is shuffled."""
+    if min_partitions:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(min_partitions))
     df = spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
     if compat_header:
         first = df.columns[0]
         df = df.filter(df[first].isNull() | (df[first] != first))
-    return df.repartition(min_partitions) if min_partitions else df
+    return df
 
 
 def reviews(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebed.plans.staging import delete
+
 
 def quoted_tuple(items: Column) -> Column:
     """``('a')`` or ``('a', 'b')``."""
@@ -41,8 +45,17 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+def write_file(lines: DataFrame, path: str) -> None:
+    """As ``write_text``, but ``path`` is the file itself, on whatever filesystem it names."""
+    spark = lines.sparkSession
+    folder = f"{path}.{uuid.uuid4().hex}"
+    write_text(lines, folder)
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    files = where(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(where(folder)) if f.getPath().getName().startswith("part-"))
+    files.delete(where(path), True)
+    files.rename(part, where(path))
+    delete(spark, folder)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ import json
 from orebed import cli
 
 
-def test_jobs(spark, tmp_path):
+def test_jobs(spark, tmp_path, capsys):
     p = {k: str(tmp_path / k) for k in ("r.json", "b.json", "ub.csv", "train.csv", "test.csv")}
     out = lambda n: str(tmp_path / f"out{n}")
     with open(p["r.json"], "w") as f:
@@ -29,9 +29,17 @@ def test_jobs(spark, tmp_path):
     cli.main(["itemsets", "1", "3", p["ub.csv"], out(5)], spark)
     assert open(out(5)).read().startswith("Candidates:\n('b0')")
     cli.main(["large-itemsets", "2", "3", p["ub.csv"], out(6)], spark)
-    cli.main(["similar", p["ub.csv"], out(7)], spark)
-    cli.main(["predict", p["train.csv"], p["test.csv"], "3", out(8)], spark)
-    assert spark.read.option("header", True).csv(out(8)).columns == ["user_id", "business_id", "prediction"]
+    city = [r[0] for r in spark.read.text(out(3)).collect()]
+    assert city[0] == "city,stars" and sorted(x.split(",")[0] for x in city[1:]) == ["c0", "c1"]
+    with open(tmp_path / "truth.csv", "w") as f:
+        f.write("business_id_1,business_id_2\nb1,b0\n")
+    cli.main(["similar", p["ub.csv"], out(7), "--truth", str(tmp_path / "truth.csv")], spark)
+    assert "'fn':" in capsys.readouterr().out
+    pairs = open(out(7)).read().splitlines()
+    assert pairs[0] == "business_id_1, business_id_2, similarity" and pairs[1:] == sorted(pairs[1:]) and all(float(x.split(",")[2]) >= 0.5 for x in pairs[1:])
+    cli.main(["predict", p["train.csv"], p["test.csv"], "3", out(8), "--shuffle-partitions", "2"], spark)
+    rows = open(out(8)).read().splitlines()
+    assert rows[0] == "user_id, business_id, prediction" and len(rows) == len(open(p["test.csv"]).read().splitlines())
     cli.main(["labels", "2", p["ub.csv"], out(9)], spark)
     cli.main(["communities", "2", p["ub.csv"], out(10), out(11)], spark)
     lines = [r[0] for r in spark.read.text(out(11)).collect()]

@@ -152,6 +152,31 @@ def test_graphs(spark, n):
     assert {r["vertex"]: r["label"] for r in G.label_propagation(edges).collect()} == LABELS[n]
 
 
+def test_betweenness_by_joins(spark):
+    """Beyond the limit no task has the graph: the same values, in one turn and in several."""
+    edges = edges_of(spark, GRAPHS[1][0])
+    want = {(r["src"], r["dst"]): r["betweenness"] for r in G.edge_betweenness(edges).collect()}
+    found = {(r["src"], r["dst"]): r["betweenness"] for r in G.edge_betweenness(edges, limit=1).collect()}
+    assert found == pytest.approx(want)
+    found = {(r["src"], r["dst"]): r["betweenness"] for r in G.betweenness_by_joins(G.both_ways(edges), roots=3).collect()}
+    assert found == pytest.approx(want)
+    with pytest.raises(ValueError):
+        G.girvan_newman(edges, limit=1)
+
+
+def test_similarities_by_blocks(spark, monkeypatch):
+    """Broadcast lists, and shuffled lists in blocks, give the same correlations."""
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(f"u{u}", f"i{i}", float(rng.randint(1, 5))) for u in range(25) for i in range(12) if rng.random() < 0.6 or i == 0], "user_id string, business_id string, stars double")
+    want = {(r["a"], r["b"]): r["sim"] for r in R.similarities(rows, "user_id", "business_id", 4).collect()}
+    some = rows.filter("user_id < 'u15'")
+    asked = {(r["a"], r["b"]): r["sim"] for r in R.similarities(rows, "user_id", "business_id", 4, some).collect()}
+    monkeypatch.setattr(R, "BROADCAST_RATINGS", 0)
+    monkeypatch.setattr(R, "BLOCK_RATINGS", 4)
+    assert want and {(r["a"], r["b"]): r["sim"] for r in R.similarities(rows, "user_id", "business_id", 4).collect()} == pytest.approx(want)
+    assert asked == {(a, b): v for (a, b), v in want.items() if a < "u15" or b < "u15"}
+
+
 def test_girvan_newman_equals_the_global_loop(spark):
     rng = random.Random(2)
     for _ in range(2):
@@ -223,14 +248,16 @@ def test_statistics_and_files(spark, tmp_path):
     assert (row["n_review"], row["n_review_year"], row["n_user"], row["top_business"]) == (2, 1, 2, '[["b1",2]]')
     cities = S.average_by_city(reviews, shops)
     assert [tuple(r) for r in cities.collect()] == [("Ulm, DE", 3.0)]
-    sinks.write_csv(cities, str(tmp_path / "out"))
-    assert "stars" in next((tmp_path / "out").glob("*.csv")).read_text()
+    sinks.write_text(sinks.plain_lines(cities), str(tmp_path / "out"))
+    assert next((tmp_path / "out").glob("part-*")).read_text() == "city,stars\nUlm, DE,3.0\n"
     assert [r["line"] for r in sinks.plain_lines(cities, header_separator=", ").collect()] == ["city, stars", "Ulm, DE,3.0"]
     report = S.partition_report(reviews, 3)
     assert sum(report["customized"]["n_items"]) == 2 and set(S.first_rows_report(cities)) == {"m1", "m2", "explanation"}
     (tmp_path / "ub.csv").write_text("user_id,business_id\nu1,b1\nuser_id,business_id\n")
     assert readers.user_business(spark, str(tmp_path / "ub.csv")).count() == 2
     assert readers.user_business(spark, str(tmp_path / "ub.csv"), compat_header=True).count() == 1
+    assert readers.user_business(spark, str(tmp_path / "ub.csv"), min_partitions=2).count() == 2
+    assert "Exchange" not in readers.user_business(spark, str(tmp_path / "ub.csv"), min_partitions=2)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_malformed_json_fails(spark, tmp_path):
