@@ -41,8 +41,10 @@ def betweenness_report(edges: DataFrame) -> DataFrame:
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    """One text file of the column ``line``, in the order of ``lines``."""
-    lines.select("line").coalesce(1).write.mode("overwrite").text(path)
+    """A folder with one text file of the column ``line``, in the order of the column ``at`` or else of the rows of ``lines``."""
+    if "at" not in lines.columns:
+        lines = lines.select("line", F.monotonically_increasing_id().alias("at"))
+    lines.repartition(1).sortWithinPartitions("at").select("line").write.mode("overwrite").text(path)
 
 
 def write_file(lines: DataFrame, path: str) -> None:
@@ -63,7 +65,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def plain_lines(df: DataFrame, separator: str = ",", header_separator: str | None = None) -> DataFrame:
-    """line: a header line, then the rows in their order, values joined without any quoting."""
+    """line, at: a header line (at -1), then the rows in their order, values joined without any quoting."""
     head = (header_separator or separator).join(df.columns)
-    rows = df.select(F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("line"))
-    return df.sparkSession.createDataFrame([(head,)], "line string").union(rows)
+    line = F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    rows = df.select(line.alias("line"), F.monotonically_increasing_id().alias("at"))
+    return df.sparkSession.createDataFrame([(head, -1)], "line string, at long").union(rows)
