@@ -4,7 +4,8 @@ Overlapping heuristics vote good, bad or nothing on each document.  The votes of
 pattern, of which there are at most 3^8 however many documents there are, and
 expectation-maximisation over the counted patterns estimates each heuristic's accuracy and the posterior label of each pattern.
 The posterior labels of a bounded sample train a logistic scorer over hashed features of the whole
-text, which then scores every document.
+text, which then scores every document.  Each text is read once: its statistics and hashed features are written,
+and what follows reads these.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ready, staged, unsigned_hash
-from .quality import STATS, statistics, text_statistics
+from .quality import STATS, statistics
 
 LABELLERS = ("symbols", "dup_lines", "repeats", "upper", "length", "word_len", "distinct", "marked")
-#: Documents, by a hash, that train the scorer: the bound of the sample.
-TRAIN_ROWS = 4000
-#: Hashed features: 2^BITS weights.
+#: Documents, by a hash, that train the scorer, and bytes of their features: the bounds of the sample.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
+#: Hashed features: 2^BITS weights; a feature's number is two bytes.
 BITS = 15
 THRESHOLD = 0.25
 EPOCHS, RATE, DECAY = 30, 0.3, 1e-5
@@ -82,35 +83,47 @@ def label_model(counts: dict[str, int], rounds: int = 60) -> tuple[dict[str, flo
     return dict(zip(patterns, post[:, 1].tolist(), strict=True)), table, share
 
 
-def hashed(text: str | None, stats: tuple[int, ...], cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of a whole text: its distinct words, the shares of its words' first and last bytes, and its statistics."""
-    mask = (1 << BITS) - 1
+MASK = (1 << BITS) - 1
+STAT_IDS = np.array([zlib.crc32(b"stat%d" % i) & MASK for i in range(8)])
+SALTS = zlib.crc32(b"first"), zlib.crc32(b"last")
+
+
+def hashed(text: str | None, cache: dict) -> tuple[bytes, bytes, bytes]:
+    """Features of a whole text: the numbers of its distinct words, which weigh the same, and the numbers and weights of the
+    shares of its words' first and last bytes (little-endian 16-bit numbers, 32-bit floats)."""
     words = (text or "").lower().encode().split()
     if len(cache) > 300_000:
         cache.clear()
-    ids = []
+    ids = set()
     for w in set(words):
         k = cache.get(w)
         if k is None:
-            k = zlib.crc32(w) & mask
+            k = zlib.crc32(w) & MASK
             if len(w) <= 64:
                 cache[w] = k
-        ids.append(k)
-    n = len(words)
-    parts = [(np.array(ids, np.int64), np.full(len(ids), 1 / np.sqrt(max(len(ids), 1))))]
-    for salt, at in ((b"first", 0), (b"last", -1)):
-        if n:
+        ids.add(k)
+    parts, weights = [], []
+    for base, at in zip(SALTS, (0, -1), strict=True):
+        if words:
             times = np.bincount(np.frombuffer(bytes([w[at] for w in words]), np.uint8), minlength=256)
             some = np.flatnonzero(times)
-            base = zlib.crc32(salt)
-            parts.append((((some * 2654435761 + base) >> 4) & mask, 2 * np.sqrt(times[some] / n)))
+            parts.append(((some * 2654435761 + base) >> 4) & MASK)
+            weights.append(2 * np.sqrt(times[some] / len(words)))
+    none = np.empty(0)
+    return np.array(sorted(ids), "<u2").tobytes(), np.concatenate([none, *parts]).astype("<u2").tobytes(), np.concatenate([none, *weights]).astype("<f4").tobytes()
+
+
+def unpacked(words: bytes, parts: bytes, weights: bytes, stats: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and values of a text from what ``hashed`` wrote and its STATS."""
+    ids = np.frombuffer(words, "<u2")
     named = dict(zip(STATS, stats, strict=True))
+    n = max(named["n_words"], 1)
     shares = [
-        named["n_symbols"] / max(named["word_chars"], 1), named["n_dup_lines"] / max(named["n_lines"], 1), named["n_repeat_words"] / max(n, 1),
-        named["n_upper"] / max(named["word_chars"], 1), named["n_distinct"] / max(min(n, 500), 1), min(n, 200) / 200, min(named["word_chars"] / max(n, 1), 20) / 20, 1.0,
+        named["n_symbols"] / max(named["word_chars"], 1), named["n_dup_lines"] / max(named["n_lines"], 1), named["n_repeat_words"] / n,
+        named["n_upper"] / max(named["word_chars"], 1), named["n_distinct"] / max(min(named["n_words"], 500), 1), min(named["n_words"], 200) / 200, min(named["word_chars"] / n, 20) / 20, 1.0,
     ]
-    parts.append((np.array([zlib.crc32(b"stat%d" % i) & mask for i in range(len(shares))]), 3 * np.array(shares)))
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    values = np.concatenate([np.full(len(ids), 1 / np.sqrt(max(len(ids), 1))), np.frombuffer(weights, "<f4"), 3 * np.array(shares)])
+    return np.concatenate([ids, np.frombuffer(parts, "<u2"), STAT_IDS]).astype(np.int64), values
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray) -> np.ndarray:
@@ -135,44 +148,49 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
     A null text is an empty text.  Ids may be null or repeat; each row returns, and equal rows get equal
     scores.  All documents count for the label model; the scorer trains on about ``train_rows`` documents chosen by a
-    hash of the whole row (at most twice as many).  Other columns are not read.  An empty table returns no rows.
+    hash of the whole row (at most twice as many, and in the hash's order as many as TRAIN_BYTES of features hold, one at least).  Other
+    columns are not read.  An empty table returns no rows.
     """
     spark = ready(docs.sparkSession)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    stats = text_statistics(picked.withColumn("draw", unsigned_hash("doc_id", "text")), ["doc_id", "draw"])
-    rows = staged(stats.withColumn("votes", votes()), "votes")
+    picked = docs.select(F.col(id_col).alias("doc_id"), unsigned_hash(F.col(id_col), F.col(text_col)).alias("draw"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    packs = ("word_ids", "part_ids", "part_weights")
+
+    def read(batches):
+        cache: dict = {}
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            stats = np.array([statistics(t) for t in texts], np.int64).reshape(-1, len(STATS))
+            packed = [hashed(t, cache) for t in texts]
+            columns = [pa.array([p[i] for p in packed], pa.binary()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, stats.T), *columns], names=["doc_id", "draw", *STATS, *packs])
+
+    wide = picked.mapInArrow(read, f"doc_id {kind}, draw long" + "".join(f", {c} long" for c in STATS) + "".join(f", {c} binary" for c in packs))
+    rows = staged(wide.withColumn("votes", votes()), "features")
     counts = {r["votes"]: r["count"] for r in rows.groupBy("votes").count().collect()}  # at most 3^8 rows
     posterior, _, _ = label_model(counts)
     total = sum(counts.values())
     limit = int(2**63 * min(1.0, train_rows / max(total, 1)) * 0.999999)
-
-    def sample(batches):
-        cache: dict = {}
-        for batch in batches:
-            got = [hashed(t, s, cache) for t, s in ((t, statistics(t)) for t in batch.column(0).to_pylist())]
-            arrays = [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["ids", "vals", "votes"])
-
-    own = picked.withColumn("draw", unsigned_hash("doc_id", "text")).filter(F.col("draw") < limit)
-    stat_votes = text_statistics(own.withColumn("body", F.col("text")), ["body"]).withColumn("votes", votes())
-    drawn = stat_votes.select("body", "votes").mapInArrow(sample, "ids array<long>, vals array<double>, votes string").limit(2 * train_rows).collect()
-    weights = spark.sparkContext.broadcast(train([(np.array(r["ids"], np.int64), np.array(r["vals"])) for r in drawn], np.array([posterior[r["votes"]] for r in drawn])))
+    room = Window.orderBy("draw", "doc_id", "votes").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("word_ids") + F.length("part_ids") + F.length("part_weights")
+    # the window runs over sizes alone, of at most twice ``train_rows`` documents; rows with equal draws are equal or as good
+    sizes = rows.filter(F.col("draw") < limit).select("draw", "doc_id", "votes", size.alias("size")).orderBy("draw").limit(2 * train_rows)
+    last = sizes.withColumn("before", F.coalesce(F.sum("size").over(room), F.lit(0))).filter(F.col("before") < TRAIN_BYTES).agg(F.max("draw").alias("d")).first()["d"]
+    drawn = [] if last is None else rows.filter(F.col("draw") <= last).select("votes", *packs, *STATS).limit(2 * train_rows).collect()
+    found = [unpacked(*(r[c] for c in packs), tuple(r[c] for c in STATS)) for r in drawn]
+    weights = spark.sparkContext.broadcast(train(found, np.array([posterior[r["votes"]] for r in drawn])))
 
     def score(batches):
-        cache: dict = {}
+        w = weights.value
         for batch in batches:
-            w = weights.value
-            out, seen = [], []
-            for text in batch.column(1).to_pylist():
-                stats = statistics(text)
-                ids, vals = hashed(text, stats, cache)
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            out = []
+            for words, parts, values, *stats in zip(*columns, strict=True):
+                ids, vals = unpacked(words, parts, values, tuple(stats))
                 out.append(float(1 / (1 + np.exp(-(vals @ w[ids])))))
-                seen.append(stats)
-            columns = [pa.array(c, pa.int64()) for c in (zip(*seen, strict=True) if seen else [[]] * len(STATS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), *columns], names=["doc_id", "score", *STATS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "votes", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = picked.mapInArrow(score, f"doc_id {kind}, score double" + "".join(f", {c} long" for c in STATS)).withColumn("votes", votes())
+    scored = rows.select("doc_id", "votes", *packs, *STATS).mapInArrow(score, f"doc_id {kind}, votes string, score double")
     chosen = F.lit(None).cast("double")
     if posterior:
         pairs = [x for k, v in sorted(posterior.items()) for x in (F.lit(k), F.lit(v))]

@@ -10,47 +10,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import orebed
+from orebed.plans.staging import discard, shared_dir, staged
 
-#: Rows of an Arrow batch.  The default of 10,000 rows can pass Arrow's 2 GB for very long texts.
-BATCH_ROWS = 500
+__all__ = ["buckets", "chi2_quantile", "discard", "free_name", "ready", "scratch", "shared_dir", "staged", "table", "unsigned_hash"]
+
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 16 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Prepare a session: functions of this package travel by value (executors need no copy of the
-    repository), and Arrow batches are small enough for very long texts."""
+    repository), and Arrow batches are bounded in bytes, whatever the texts' lengths."""
     cloudpickle.register_pickle_by_value(orebed)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not now.isdecimal() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a folder of this machine is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="orebed-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/orebed/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors lose
-    nothing, and Catalyst knows the true size."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,10 +46,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def same_or_null(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def chi2_quantile(p: float, d: int) -> float:
     """Wilson-Hilferty approximation of the chi-squared quantile."""
     lo, hi = -9.0, 9.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -44,7 +44,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        edges = staged(small, "links")
+        old, edges = edges, staged(small, "links")
+        discard(old)
         before, state = state, _digest(edges)
         if before == state:
             break

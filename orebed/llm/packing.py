@@ -193,14 +193,14 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_R
 
     Offsets of a sequence run without a gap from 0.  Ties of length go by doc_id, start and the rest
     of the row; rows that are equal in all columns are interchangeable.  Columns of the input named
-    sequence_id or offset are replaced.  An empty table returns no rows.
+    sequence_id or offset are replaced.  Equal rows, however many, go to groups of their own draw.  An empty table returns no rows.
     """
     spark = ready(pieces.sparkSession)
     pieces = staged(pieces.drop("sequence_id", "offset"), "pieces")
     groups = buckets(pieces.count(), group_rows)
     group = free_name(pieces, "pack_group")
     plain = [f.name for f in pieces.schema if isinstance(f.dataType, T.AtomicType)]
-    dealt = pieces.withColumn(group, F.pmod(unsigned_hash(F.lit(seed), *[F.col(f"`{c}`") for c in plain]), F.lit(groups)))
+    dealt = pieces.withColumn(group, F.pmod(unsigned_hash(F.lit(seed), F.monotonically_increasing_id(), *[F.col(f"`{c}`") for c in plain]), F.lit(groups)))
 
     def pack(rows: pa.Table) -> pa.Table:
         keys = [("length", "descending"), *((c, "ascending") for c in plain if c != "length")]

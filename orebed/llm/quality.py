@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chi2_quantile, free_name, ready, staged
+from .common import chi2_quantile, discard, free_name, ready, staged
 
 FEATURES = ("word_len", "distinct", "length", "symbols", "dup_lines", "repeats", "upper")
 #: Least standard deviation of each feature: below it a spread is not told from zero.  Those of the shares of lines and of
@@ -230,7 +230,8 @@ def fit(vectors: DataFrame, cover: float = COVER, steps: int = STEPS, prior: flo
         new = new.select("g", "start", *[F.col(c).alias(f"new_{c}") for c in names])
         falls = F.col("new_det") < F.col("det") - FALL if step > 1 else F.col("new_det").isNotNull()
         pick = [F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in names]
-        now = staged(now.join(new, ["g", "start"], "left").select("g", "start", *pick, (~F.coalesce(falls, F.lit(False))).alias("done")), "mcd")
+        old, now = now, staged(now.join(new, ["g", "start"], "left").select("g", "start", *pick, (~F.coalesce(falls, F.lit(False))).alias("done")), "mcd")
+        discard(old)
         if now.filter("not done").isEmpty():
             break
     least = now.groupBy("g").agg(F.min(F.struct("det", "start", "mu", "cov")).alias("best"))

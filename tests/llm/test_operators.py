@@ -551,6 +551,52 @@ def test_label_model_and_scorer(spark):
     assert classifier.label_model({})[0] == {}
 
 
+def test_posteriors_are_those_of_bayes():
+    """The posteriors of the final table, worked out vote by vote; the table is a fixed point of counting."""
+    rng = random.Random(14)
+    accuracy = [0.9, 0.8, 0.85, 0.75, 0.9, 0.8, 0.8, 0.85]
+    counts = collections.Counter()
+    for _ in range(3000):
+        good = rng.random() < 0.6
+        counts["".join("n" if rng.random() < 0.2 else "bg"[good == (rng.random() < a)] for a in accuracy)] += 1
+    posterior, table, share = classifier.label_model(counts, rounds=400)
+    for pattern, p in posterior.items():
+        odds = share / (1 - share)
+        for j, vote in enumerate(pattern):
+            odds *= table[1, j, "bgn".index(vote)] / table[0, j, "bgn".index(vote)]
+        assert math.isclose(p, odds / (1 + odds), abs_tol=1e-3)
+    for j, a in enumerate(accuracy):  # of those who vote, right as often as they were made to be
+        for c in (0, 1):
+            assert abs(table[c, j, c] / (table[c, j, 0] + table[c, j, 1]) - a) < 0.06
+
+
+def test_features_of_a_text():
+    text = "Ab ab  cd\nEF ef\tx"
+    words, parts, weights = classifier.hashed(text, {})
+    stats = quality.statistics(text)
+    ids, values = classifier.unpacked(words, parts, weights, stats)
+    own = {zlib.crc32(w) & classifier.MASK for w in (b"ab", b"cd", b"ef", b"x")}
+    assert set(ids[: len(own)].tolist()) == own and np.allclose(values[: len(own)], 0.5)
+    first = collections.Counter("aaceex")
+    assert sorted(values[4 : 4 + len(first)].round(5)) == sorted(round(2 * math.sqrt(n / 6), 5) for n in first.values())
+    assert np.isclose(values[-3], 3 * 6 / 200) and values[-1] == 3 and len(ids) == len(values)
+
+
+def test_classifier_against_labels(spark):
+    """Labels that neither the heuristics nor the scorer have seen."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = classifier.classify(docs).join(labels.select("doc_id", "quality"), "doc_id").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_equal_rows_go_to_many_groups(spark):
+    pieces = spark.range(0, 6000, 1, 4).select(F.lit(1).alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(100).cast("long").alias("length"))
+    found = packing.place(pieces, group_rows=200)
+    groups = found.groupBy(F.shiftright("sequence_id", 32)).count().collect()
+    assert sum(r["count"] for r in groups) == 6000 and len(groups) == 30 and max(r["count"] for r in groups) < 300
+
+
 # ---- mixing
 
 
