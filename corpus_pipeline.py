@@ -1,7 +1,9 @@
 """Corpus pipeline over ``documents``: quality rules, SimHash near-duplicates, personal data, mixing, packing.
 
 Each stage takes all that the stage before it kept and is written as Parquet and read again.  All but
-the last return the columns of documents.
+the last return the columns of documents.  Mixing repeats rows, so ids repeat from there on: packing takes
+each row as a document of its own, and pieces of equal rows differ in their sequence and offset alone.  Null and
+repeated ids of documents are treated by each stage as its operator says.
 """
 
 from __future__ import annotations

@@ -1025,4 +1025,4 @@ def test_mask(spark):
 
 
 def test_queries_have_names_and_numbers():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.OPERATORS] == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
