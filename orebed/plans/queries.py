@@ -11,6 +11,7 @@ from orebed.operators import itemsets as I
 from orebed.operators import lsh as L
 from orebed.operators import recommend as R
 from orebed.operators import statistics as S
+from orebed.plans.staging import staged
 from orebed.sources import adapters as A
 from orebed.sources import sinks
 
@@ -284,6 +285,7 @@ def lsh_pairs(spark, d):
 @query(f"""WITH {VERIFIED}, n AS (SELECT (SELECT count(*) FROM verified) AS tp, (SELECT count(*) FROM exact) AS truth)
 SELECT tp, CAST(0 AS BIGINT) AS fp, truth - tp AS fn, CASE WHEN tp > 0 THEN 1.0::DOUBLE END AS precision, round(tp / nullif(truth, 0), 6) AS recall FROM n""")
 def lsh_precision_recall(spark, d):
+    """Verified pairs are never false, so the SQL has fp 0 and precision 1 as constants; hash parameters are those of the code, the values are worked out anew."""
     tokens = A.document_tokens(spark, d)
     found = L.precision_recall(_lsh_pairs(spark, d), L.exact_pairs(tokens, JACCARD))
     return found.withColumn("recall", F.round("recall", 6))
@@ -377,6 +379,22 @@ def predict_als(spark, d):
     return R.predict(*_split(spark, d), case=1)
 
 
+@query(f"""WITH {RATINGS} SELECT t.u AS user_id, t.i AS business_id, round(coalesce(m, g) + 1e-9, 6) AS prediction FROM test t CROSS JOIN whole LEFT JOIN mean USING (u)
+WHERE t.u NOT IN (SELECT u FROM train) OR t.i NOT IN (SELECT i FROM train)""")
+def predict_als_unknown(spark, d):
+    """Pairs whose user or item the factorisation has not seen: what they fall back to."""
+    train, test = _split(spark, d)
+    seen = R.predict(train, test, case=1)
+    both = test.join(train.select("user_id").distinct(), "user_id", "left_semi").join(train.select("business_id").distinct(), "business_id", "left_semi")
+    return _rounded(seen.join(both.select("user_id", "business_id"), ["user_id", "business_id"], "left_anti"))
+
+
+@query(f"WITH {RATINGS} SELECT count(*) AS n, true AS in_range FROM test")
+def predict_als_bounds(spark, d):
+    """Every pair has one prediction, from 0 to 5: the SQL says what must hold, as the factors themselves are beyond SQL."""
+    return R.predict(*_split(spark, d), case=1).agg(F.count("prediction").alias("n"), F.every(F.col("prediction").between(0, 5)).alias("in_range"))
+
+
 def _error_sql(method: str) -> str:
     return PREDICT[method].replace(TAIL, f", scored AS ({TAIL})", 1) + f"""
 SELECT {{}} FROM scored JOIN test ON u = user_id AND i = business_id"""
@@ -423,6 +441,7 @@ EDGES = f"""visits AS (SELECT DISTINCT user_id AS u, date_trunc('hour', ts) AS h
 edges AS (SELECT x.u AS src, y.u AS dst, count(*) AS weight FROM visits x JOIN visits y ON x.h = y.h AND x.u < y.u GROUP BY 1, 2 HAVING count(*) >= {HOURS}),
 e AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), v AS (SELECT DISTINCT src AS v FROM e),
 deg AS (SELECT src AS v, count(*) AS k FROM e GROUP BY 1)"""
+#: The walks end after 24 steps: longer shortest paths than these tables hold would need more.
 DIST = """walk(s, v, k) AS (SELECT v, v, 0 FROM v UNION SELECT walk.s, e.dst, k + 1 FROM walk JOIN e ON e.src = walk.v WHERE k < 24),
 dist AS (SELECT s, v, min(k) AS d FROM walk GROUP BY 1, 2), comp AS (SELECT v, min(s) AS c FROM dist GROUP BY 1)"""
 PATHS = """path(s, v, k) AS (SELECT v, v, 0 FROM v UNION ALL SELECT p.s, e.dst, p.k + 1 FROM path p JOIN e ON e.src = p.v JOIN dist t ON t.s = p.s AND t.v = e.dst AND t.d = p.k + 1),
@@ -506,3 +525,23 @@ def modularity_of_components(spark, d):
 @query()
 def girvan_newman_communities(spark, d):
     return G.girvan_newman(_edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {DIST}, inside AS (SELECT c, count(*) / 2 AS x FROM e JOIN comp ON comp.v = e.src GROUP BY 1),
+sums AS (SELECT c, sum(k) AS s, sum(k * k) AS q FROM deg JOIN comp USING (v) GROUP BY 1), whole AS (SELECT sum(x - (s * s - q) / 2 / (SELECT count(*) FROM e)) AS m FROM sums JOIN inside USING (c))
+SELECT (SELECT count(*) FROM v) AS n_vertices, true AS value_holds, (SELECT count(*) FROM v) AS n_connected, true AS not_below FROM whole""")
+def girvan_newman_split(spark, d):
+    """What must hold of the split, as the sequence of removals is beyond SQL: its stated modularity is that of its communities and not below that
+    of the components, and each vertex reaches its community's least member within the community."""
+    edges = _edges(spark, d)
+    split = staged(G.girvan_newman(edges), "split")
+    value = G.modularity(edges, split, "community").first()["modularity"]
+    whole = G.modularity(edges, G.connected_components(edges)).first()["modularity"]
+    of = split.select("vertex", "community")
+    inner = edges.join(of.withColumnsRenamed({"vertex": "src", "community": "c"}), "src").join(of.withColumnsRenamed({"vertex": "dst", "community": "c2"}), "dst").filter("c = c2")
+    reached = G.connected_components(inner.select("src", "dst")).withColumnRenamed("component", "least")
+    checked = split.join(reached, "vertex", "left")
+    return checked.agg(
+        F.count(F.lit(1)).alias("n_vertices"), F.every(F.abs(F.col("modularity") - value) < 1e-6).alias("value_holds"),
+        F.count_if(F.coalesce("least", "vertex") == F.col("community")).alias("n_connected"), F.every(F.col("modularity") >= whole - 1e-6).alias("not_below"),
+    )
