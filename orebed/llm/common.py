@@ -14,18 +14,18 @@ from orebed.plans.staging import discard, shared_dir, staged
 
 __all__ = ["buckets", "chi2_quantile", "discard", "free_name", "ready", "scratch", "shared_dir", "staged", "table", "unsigned_hash"]
 
-#: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 16 << 20
+#: Bytes and rows of an Arrow batch that goes to a Python worker.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 500
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Prepare a session: functions of this package travel by value (executors need no copy of the
     repository), and Arrow batches are bounded in bytes, whatever the texts' lengths."""
     cloudpickle.register_pickle_by_value(orebed)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).lower().removesuffix("b")
-    if not now.isdecimal() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
