@@ -25,8 +25,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Pieces of a randomised group, on average.
 GROUP_ROWS = 2048
-#: Pieces in a worker's dictionary before those of one batch alone go, and the longest of them in bytes.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+#: Pieces kept in a worker's dictionary, and the longest of them in bytes.
+CACHE_PIECES, CACHE_BYTES = 1_000_000, 64
 #: New pieces encoded in one call.
 TOGETHER = 100
 VOCABULARY = "word_bpe_49k.json"
@@ -69,7 +69,6 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes | None] = {}
-        self.again: set[bytes] = set()  # pieces that a later batch found in the dictionary
 
     def ids(self, text: bytes) -> bytes:
         return np.array(self.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -106,12 +105,9 @@ class Encoder:
         """The ids of each text."""
         cuts = [None if b"<|" in t else PIECE.findall(t.lower()) for t in texts]
         if len(self.known) > CACHE_PIECES:
-            self.known = {p: self.known[p] for p in self.again} if len(self.again) <= CACHE_PIECES // 2 else {}
-            self.again = set()
+            self.known.clear()
         known = self.known
-        distinct = set().union(*filter(None, cuts))
-        new = list(distinct.difference(known))
-        self.again |= distinct.difference(new)
+        new = list(set().union(*filter(None, cuts)).difference(known))
         known.update(self.learn(new))
         get, out = known.__getitem__, []
         for text, pieces in zip(texts, cuts, strict=True):
