@@ -304,6 +304,11 @@ def _split(spark, d):
     return A.split(A.ratings(spark, d))
 
 
+def _split_once(spark, d):
+    """As ``_split``, of ratings written once, where they are read several times."""
+    return A.split(staged(A.ratings(spark, d), "rated"))
+
+
 def _sims_sql(of: str, over: str, preset: R.Preset) -> str:
     limit = f"QUALIFY row_number() OVER (PARTITION BY key ORDER BY sim DESC, nbr) <= {preset.top}" if preset.top else ""
     return f"""sims AS (SELECT x.{of} AS a, y.{of} AS b, {PEARSON} AS sim FROM train x JOIN train y ON x.{over} = y.{over} AND x.{of} < y.{of}
@@ -338,13 +343,13 @@ def global_mean(spark, d):
 @query(f"WITH {RATINGS}, {USER_SIMS} SELECT key, nbr, round(sim, 6) AS sim FROM near")
 def user_similarity_top3(spark, d):
     p = R.PRESETS_PY["user"]
-    return R.neighbours(R.similarities(_split(spark, d)[0], "user_id", "business_id", p.support), p.top).select("key", "nbr", F.round("sim", 6).alias("sim"))
+    return R.neighbours(R.similarities(_split_once(spark, d)[0], "user_id", "business_id", p.support), p.top).select("key", "nbr", F.round("sim", 6).alias("sim"))
 
 
 @query(f"WITH {RATINGS}, {ITEM_SIMS} SELECT key, nbr, round(sim, 6) AS sim FROM near")
 def item_similarity_top2(spark, d):
     p = R.PRESETS_PY["item"]
-    return R.neighbours(R.similarities(_split(spark, d)[0], "business_id", "user_id", p.support), p.top).select("key", "nbr", F.round("sim", 6).alias("sim"))
+    return R.neighbours(R.similarities(_split_once(spark, d)[0], "business_id", "user_id", p.support), p.top).select("key", "nbr", F.round("sim", 6).alias("sim"))
 
 
 def _rounded(predicted):
@@ -361,12 +366,12 @@ PREDICT = {
 
 @query(PREDICT["user"])
 def predict_user_cf(spark, d):
-    return _rounded(R.predict(*_split(spark, d), case=2))
+    return _rounded(R.predict(*_split_once(spark, d), case=2))
 
 
 @query(PREDICT["item"])
 def predict_item_cf(spark, d):
-    return _rounded(R.predict(*_split(spark, d), case=3))
+    return _rounded(R.predict(*_split_once(spark, d), case=3))
 
 
 @query(PREDICT["lsh"])
@@ -402,19 +407,19 @@ SELECT {{}} FROM scored JOIN test ON u = user_id AND i = business_id"""
 
 @query(_error_sql("item").format("round(sqrt(avg((r - prediction) * (r - prediction))), 4) AS rmse"))
 def rmse_item_cf(spark, d):
-    train, test = _split(spark, d)
+    train, test = _split_once(spark, d)
     return R.rmse(test, _rounded(R.item_based(train, test))).select(F.round("rmse", 4).alias("rmse"))
 
 
 @query(_error_sql("user").format("round(sqrt(avg((r - prediction) * (r - prediction))), 4) AS rmse"))
 def rmse_user_cf(spark, d):
-    train, test = _split(spark, d)
+    train, test = _split_once(spark, d)
     return R.rmse(test, _rounded(R.user_based(train, test))).select(F.round("rmse", 4).alias("rmse"))
 
 
 @query(_error_sql("item").format("CAST(least(floor(abs(r - prediction)), 4) AS INTEGER) AS bin, count(*) AS n") + " GROUP BY 1")
 def error_histogram_item_cf(spark, d):
-    train, test = _split(spark, d)
+    train, test = _split_once(spark, d)
     return R.error_histogram(test, _rounded(R.item_based(train, test)))
 
 
