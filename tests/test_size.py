@@ -56,7 +56,7 @@ def test_meetings(spark, monkeypatch, way, block):
     assert M.pairs(table.filter("a is null"), 1, block).count() == 0
 
 
-CF = ["user_similarity_top3", "predict_user_cf", "rmse_user_cf", "predict_item_cf", "item_similarity_top2", "rmse_item_cf"]
+CF = ["user_similarity_top3", "predict_user_cf", "rmse_user_cf", "predict_item_cf", "item_similarity_top2", "rmse_item_cf", "error_histogram_item_cf"]
 
 
 @pytest.mark.parametrize("name", CF)
