@@ -84,7 +84,7 @@ def crowd(spark, tmp_path_factory):
 
 
 #: Most bytes of shuffles; the distinct visits are some 158,000 of them.
-GRAPH = {"co_occurrence_edges": 250_000, "degrees": 250_000, "graph_vertices": 250_000, "connected_components": 250_000, "bfs_levels": 250_000, "modularity_of_components": 250_000, "label_propagation": 250_000}
+GRAPH = {"co_occurrence_edges": 250_000, "degrees": 250_000, "graph_vertices": 250_000, "connected_components": 250_000, "bfs_levels": 250_000, "modularity_of_components": 250_000, "label_propagation": 250_000, "community_report": 250_000}
 
 
 @pytest.mark.parametrize("name", GRAPH)
