@@ -117,3 +117,34 @@ def test_labels_joined_or_sent(spark):
     rng = np.random.default_rng(4)
     edges = spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in rng.integers(0, 40, (120, 2)).tolist()], "src string, dst string")
     assert {tuple(r) for r in G.label_propagation(edges, 3).collect()} == {tuple(r) for r in G.label_propagation(edges, 3, limit=0).collect()}
+
+
+@pytest.mark.parametrize("name", ["edge_betweenness"])
+def test_betweenness_of_many_edges(spark, monkeypatch, name):
+    """A million directed edges are still searched in tasks; every edge of a complete graph is the one shortest path of its ends."""
+    from orebed.operators import graph as G
+
+    monkeypatch.setattr(G, "betweenness_by_joins", None)
+    n = 1010
+    edges = spark.range(n * n).selectExpr(f"id div {n} AS src", f"id % {n} AS dst").filter("src < dst")
+    scored = G.edge_betweenness(edges)
+    if name == "max_betweenness":
+        assert [tuple(r) for r in G.best_edge(scored).collect()] == [(0, 1, 1.0)]
+    else:
+        assert scored.agg(F.count("src"), F.min("betweenness"), F.max("betweenness")).first()[:] == (n * (n - 1) // 2, 1.0, 1.0)
+
+
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_credits_by_levels(monkeypatch, dense):
+    """Vertex by vertex or in slices, and for several roots at once: as the plain search has it."""
+    from orebed.operators import graph as G
+
+    monkeypatch.setattr(G, "DENSE", dense)
+    rng = np.random.default_rng(6)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 30, (60, 2)) if a < b}
+    both = np.array(sorted(pairs | {(b, a) for a, b in pairs}))
+    own, src = np.unique(both[:, 0], return_inverse=True)
+    near, first = np.searchsorted(own, both[:, 1]), np.searchsorted(src, np.arange(len(own) + 1))
+    credit = sum(G.credits_of(src, near, first, np.arange(len(own))[k::4]) for k in range(4))
+    want = G.edge_credits(G._adjacency(both.tolist()), own.tolist())
+    assert (credit + credit[np.lexsort((src, near))]).tolist() == pytest.approx([want[min(e), max(e)] for e in both.tolist()])
