@@ -119,7 +119,7 @@ def test_labels_joined_or_sent(spark):
     assert {tuple(r) for r in G.label_propagation(edges, 3).collect()} == {tuple(r) for r in G.label_propagation(edges, 3, limit=0).collect()}
 
 
-@pytest.mark.parametrize("name", ["edge_betweenness"])
+@pytest.mark.parametrize("name", ["edge_betweenness", "max_betweenness"])
 def test_betweenness_of_many_edges(spark, monkeypatch, name):
     """A million directed edges are still searched in tasks; every edge of a complete graph is the one shortest path of its ends."""
     from orebed.operators import graph as G
