@@ -286,8 +286,10 @@ def lsh_pairs(spark, d):
 SELECT tp, CAST(0 AS BIGINT) AS fp, truth - tp AS fn, CASE WHEN tp > 0 THEN 1.0::DOUBLE END AS precision, round(tp / nullif(truth, 0), 6) AS recall FROM n""")
 def lsh_precision_recall(spark, d):
     """Verified pairs are never false, so the SQL has fp 0 and precision 1 as constants; hash parameters are those of the code, the values are worked out anew."""
+    count, bands = L.PRESETS["pairs"]
     tokens = A.document_tokens(spark, d)
-    found = L.precision_recall(_lsh_pairs(spark, d), L.exact_pairs(tokens, JACCARD))
+    lists = L.members(tokens, count=count)
+    found = L.precision_recall(L.similar_pairs(tokens, JACCARD, count, bands, lists=lists), L.exact_pairs(tokens, JACCARD, lists=lists))
     return found.withColumn("recall", F.round("recall", 6))
 
 

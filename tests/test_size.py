@@ -168,3 +168,39 @@ def test_prefixes_in_any_order(spark, monkeypatch, ordered):
     want = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
     found = {(r["a"], r["b"]): r["similarity"] for r in L.exact_pairs(rows, 0.5).collect()}
     assert found == pytest.approx({k: v for k, v in want.items() if v >= 0.5})
+
+
+def test_lists_are_made_once(spark):
+    """The bands and the exact pairs read the same lists of members."""
+    assert moved(spark, "lsh_precision_recall") < 3.5 * size("documents")
+
+
+def test_candidates_do_not_travel(spark):
+    """Candidates of the bands are compared where they meet: neither they nor lists of members are joined or shuffled for it."""
+    found = QUERIES["lsh_pairs"](spark, SF)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 188
+
+
+@pytest.mark.parametrize("key", ["int", "string"])
+@pytest.mark.parametrize("small", [False, True])
+def test_bands_meet_in_blocks(spark, monkeypatch, key, small):
+    """Copies, near copies, sets whose rows lie apart, in one block and in many: the bands' candidates that reach the threshold."""
+    from orebed.operators import lsh as L
+
+    if small:
+        monkeypatch.setattr(L, "BLOCK_MEMBERS", 100)
+        monkeypatch.setattr(L, "CHUNK", 20)
+        monkeypatch.setattr(L, "GATHERED", 7)
+    rng = np.random.default_rng(9)
+    base = [set(rng.integers(0, 60, 1 + 3 * s).tolist()) for s in range(12)]
+    own = {s: base[s % 12] ^ ({int(rng.integers(0, 60))} if s % 3 else set()) or {1} for s in range(60)} | {60: set(range(5000)), 61: set(range(2, 5000)), 62: set(range(3000))}
+    pairs = [(s, m) for s, ms in own.items() for m in ms]
+    rng.shuffle(pairs)
+    rows = spark.createDataFrame([*((int(s), int(m)) for s, m in pairs), (None, 1), (5, None)], "s int, m int").selectExpr(f"cast(s AS {key}) AS business_id", "m AS user_id").repartition(3)
+    name = (lambda s: s) if key == "int" else str
+    bands = {tuple(r) for r in L.candidate_pairs(L.minima(rows.filter("business_id is not null and user_id is not null"), count=9), 9, 3).collect()}
+    want = {(name(a), name(b)): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if (name(a), name(b)) in bands}
+    found = L.similar_pairs(rows, 0.5, 9, 3).collect()
+    assert {(r["a"], r["b"]): r["similarity"] for r in found} == pytest.approx({k: v for k, v in want.items() if v >= 0.5})
+    assert len(found) == len({(r["a"], r["b"]) for r in found}) > 100
