@@ -204,3 +204,14 @@ def test_bands_meet_in_blocks(spark, monkeypatch, key, small):
     found = L.similar_pairs(rows, 0.5, 9, 3).collect()
     assert {(r["a"], r["b"]): r["similarity"] for r in found} == pytest.approx({k: v for k, v in want.items() if v >= 0.5})
     assert len(found) == len({(r["a"], r["b"]) for r in found}) > 100
+
+
+def test_edges_reach_the_driver_as_columns(spark, monkeypatch):
+    """max_betweenness: no Python object is made for each edge on the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from orebed.operators import graph as G
+
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    assert tuple(G.best_edge(G.edge_betweenness(edges)).first()) == ("a", "b", 2.0)
