@@ -119,6 +119,64 @@ def test_labels_joined_or_sent(spark):
     assert {tuple(r) for r in G.label_propagation(edges, 3).collect()} == {tuple(r) for r in G.label_propagation(edges, 3, limit=0).collect()}
 
 
+def test_lists_of_numbers_as_bytes():
+    """Gaps of any size, negative numbers, the ends of the range; also of a slice."""
+    from orebed.functions.packed import packed, unpacked
+
+    rng = np.random.default_rng(5)
+    end = 2**63 - 1
+    lists = [np.array(x) for x in ([0], [-1], [-end - 1, end], [-end - 1, -1, 0, end - 1], [127, 128, 255, 383, 16_767, 2**40])]
+    lists += [np.unique(rng.integers(-most, most, n)) for most in (100, 10**6, end) for n in (1, 40)]
+    sizes = [len(x) for x in lists]
+    whole = packed(np.concatenate(lists), np.cumsum([0, *sizes[:-1]]))
+    for part in (slice(0, len(lists)), slice(2, 5), slice(3, 3)):
+        values, counts = unpacked(whole[part])
+        assert values.tolist() == [int(v) for x in lists[part] for v in x] and counts.tolist() == sizes[part]
+
+
+@pytest.mark.parametrize("kind, at", [("int", 0), ("long", -17), ("long", 2**62), ("string", 0)])
+def test_labels_of_numbers(spark, monkeypatch, kind, at):
+    """Neighbours as bytes, in many small lists: the labels are those of plain Python, whether they are sent or joined."""
+    from orebed.operators import graph as G
+
+    monkeypatch.setattr(G, "CONTRACT_ROWS", 7)
+    monkeypatch.setattr(G, "VOTES", 5)
+    rng = np.random.default_rng(7)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 30, (90, 2)) if a < b}
+    name = (lambda v: v + at * (1 if v % 2 else -1)) if kind != "string" else (lambda v: f"v{v:02}")
+    pairs = {tuple(sorted(map(name, p))) for p in pairs}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    label = {v: v for v in near}
+    for _ in range(3):
+        votes = {v: [label[w] for w in near[v]] for v in near}
+        label = {v: min(x, key=lambda c: (-x.count(c), c)) for v, x in votes.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        edges = spark.createDataFrame(sorted(pairs), f"src {kind}, dst {kind}")
+        twice = edges.unionByName(edges.selectExpr("dst AS src", "src AS dst")).unionByName(edges.selectExpr("src", "src AS dst"))
+        for rows, once in ((edges, True), (twice, False)):
+            for limit in (0, 1000):
+                found = G.label_propagation(rows, 3, once=once, limit=limit)
+                assert found.dtypes == [("vertex", {"long": "bigint"}.get(kind, kind)), ("label", {"long": "bigint"}.get(kind, kind))]
+                assert {r["vertex"]: r["label"] for r in found.collect()} == label
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_neighbours_take_a_byte(spark, tmp_path):
+    """Lists of neighbours are shuffled with some byte for an edge's end: less than 3 for an edge, not 6."""
+    from orebed.operators import graph as G
+
+    spark.range(600 * 600).selectExpr("id div 600 AS src", "id % 600 AS dst").filter("src < dst and xxhash64(src, dst) % 3 = 0").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    before = written(spark)
+    G.label_propagation(edges, 1, once=True)
+    assert written(spark) - before < 3 * edges.count()
+
+
 @pytest.mark.parametrize("name", ["edge_betweenness", "max_betweenness"])
 def test_betweenness_of_many_edges(spark, monkeypatch, name):
     """A million directed edges are still searched in tasks; every edge of a complete graph is the one shortest path of its ends."""
