@@ -354,9 +354,9 @@ def item_similarity_top2(spark, d):
     return R.neighbours(R.similarities(_split_once(spark, d)[0], "business_id", "user_id", p.support), p.top).select("key", "nbr", F.round("sim", 6).alias("sim"))
 
 
-def _rounded(predicted):
+def _rounded(predicted, *others):
     """Six decimals; the shift takes exact halves to one side in any engine."""
-    return predicted.select("user_id", "business_id", F.round(F.col("prediction") + 1e-9, 6).alias("prediction"))
+    return predicted.select("user_id", "business_id", *others, F.round(F.col("prediction") + 1e-9, 6).alias("prediction"))
 
 
 PREDICT = {
@@ -407,22 +407,24 @@ def _error_sql(method: str) -> str:
 SELECT {{}} FROM scored JOIN test ON u = user_id AND i = business_id"""
 
 
+def _with_stars(spark, d, method):
+    """Predictions beside the test's stars, which went along, so neither is shuffled to meet the other."""
+    return _rounded(method(*_split_once(spark, d), keep=("stars",)), "stars")
+
+
 @query(_error_sql("item").format("round(sqrt(avg((r - prediction) * (r - prediction))), 4) AS rmse"))
 def rmse_item_cf(spark, d):
-    train, test = _split_once(spark, d)
-    return R.rmse(test, _rounded(R.item_based(train, test))).select(F.round("rmse", 4).alias("rmse"))
+    return R.rmse(None, _with_stars(spark, d, R.item_based)).select(F.round("rmse", 4).alias("rmse"))
 
 
 @query(_error_sql("user").format("round(sqrt(avg((r - prediction) * (r - prediction))), 4) AS rmse"))
 def rmse_user_cf(spark, d):
-    train, test = _split_once(spark, d)
-    return R.rmse(test, _rounded(R.user_based(train, test))).select(F.round("rmse", 4).alias("rmse"))
+    return R.rmse(None, _with_stars(spark, d, R.user_based)).select(F.round("rmse", 4).alias("rmse"))
 
 
 @query(_error_sql("item").format("CAST(least(floor(abs(r - prediction)), 4) AS INTEGER) AS bin, count(*) AS n") + " GROUP BY 1")
 def error_histogram_item_cf(spark, d):
-    train, test = _split_once(spark, d)
-    return R.error_histogram(test, _rounded(R.item_based(train, test)))
+    return R.error_histogram(None, _with_stars(spark, d, R.item_based))
 
 
 @query(f"""WITH {RATINGS}, x AS (SELECT DISTINCT u FROM train), y AS (SELECT DISTINCT u FROM test)

@@ -64,6 +64,16 @@ def test_ratings_move_once(spark, name):
     assert moved(spark, name) < 1.5 * size("lineitem", "orders")
 
 
+@pytest.mark.parametrize("name", ["rmse_user_cf", "rmse_item_cf", "error_histogram_item_cf"])
+def test_errors_move_no_more_than_predictions(spark, name):
+    """The test's stars go along with its rows: they are not joined again to what was predicted for them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        assert moved(spark, name) < 1.03 * moved(spark, "predict_" + name.rsplit("_", 2)[1] + "_cf") + 10_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_shuffles_of_written_tables_go(spark):
     """A written table's shuffles are removed when it has been written, not when the driver collects its garbage."""
     import time
