@@ -210,6 +210,14 @@ def test_neighbours_take_a_byte(spark, tmp_path):
     assert written(spark) - before < 3 * edges.count()
 
 
+def test_report_of_edges_in_blocks(spark, monkeypatch, tmp_path):
+    """community_report of 157,083 edges found in many blocks: beside the visits little more than a byte for an edge is shuffled."""
+    monkeypatch.setattr(M, "LEAST_ROWS", 3000)
+    rows = spark.range(64 * 600).filter("xxhash64(id div 64, id % 64) < 0")
+    rows.selectExpr("id div 64 AS user_id", "timestamp_seconds(1704067200 + 3600 * (id % 64)) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert moved(spark, "community_report", str(tmp_path)) - moved(spark, "co_occurrence_edges", str(tmp_path)) < 1.6 * 157_083
+
+
 @pytest.mark.parametrize("name", ["edge_betweenness", "max_betweenness"])
 def test_betweenness_of_many_edges(spark, monkeypatch, name):
     """A million directed edges are still searched in tasks; every edge of a complete graph is the one shortest path of its ends."""
