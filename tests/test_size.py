@@ -314,3 +314,65 @@ def test_edges_reach_the_driver_as_columns(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "toPandas", None)
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert tuple(G.best_edge(G.edge_betweenness(edges)).first()) == ("a", "b", 2.0)
+
+
+@pytest.fixture
+def counted_large(monkeypatch):
+    """Edges that count as more than a million; as they are, two triangles with an edge between them and a pair."""
+    from orebed.operators import graph as G
+    from orebed.plans import queries as Q
+
+    def staged(df, name="round", made=G.staged):
+        out = made(df, name)
+        if name == "edges":
+            out.count = lambda: 1_000_002
+        return out
+
+    monkeypatch.setattr(G, "staged", staged)
+    knot = [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6), (7, 8)]
+    monkeypatch.setattr(Q, "_edges", lambda spark, _: spark.createDataFrame(knot, "src long, dst long"))
+
+
+def test_girvan_newman_communities_of_many_edges(spark, counted_large):
+    """No number of edges is too many."""
+    found = QUERIES["girvan_newman_communities"](spark, "").collect()
+    assert {r["vertex"]: r["community"] for r in found} == dict.fromkeys(range(1, 7), 1) | {7: 7, 8: 7}
+
+
+def test_removals_by_arrays(monkeypatch):
+    """A sequence is the same, edge by edge, whether parts are searched by arrays or not; also of text."""
+    from orebed.operators import graph as G
+
+    rng = np.random.default_rng(11)
+    pairs = np.unique(np.sort(np.array([p for p in rng.integers(100, 130, (90, 2)) if p[0] != p[1]]), axis=1), axis=0)
+    want = list(G.removals(pairs[:, 0], pairs[:, 1], 200))
+    assert sorted((a, b) for _, a, b, _ in want) == sorted(map(tuple, pairs.tolist()))
+    monkeypatch.setattr(G, "FEW_CELLS", 0)
+    for dense in (1, 1000):
+        monkeypatch.setattr(G, "DENSE", dense)
+        found = list(G.removals(pairs[::-1, 0], pairs[::-1, 1], 200))
+        assert [f[1:3] for f in found] == [w[1:3] for w in want]
+        assert np.allclose([(f[0], f[3]) for f in found], [(w[0], w[3]) for w in want])
+    text = pairs.astype(str).astype(object)
+    assert [tuple(map(int, f[1:3])) for f in G.removals(text[:, 0], text[:, 1], 200)] == [w[1:3] for w in want]
+
+
+def test_girvan_newman_merges_components(spark):
+    """Equal components in turns, text, a component's rows over several batches: the order of the global loop."""
+    from orebed.operators import graph as G
+
+    shape = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5), (4, 6)]
+    pairs = [(f"{'cab'[i]}{x}", f"{'cab'[i]}{y}") for i in range(3) for x, y in shape] + [("x", "y")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        removed = G._removed(edges, G.connected_components(edges), 2 * len(pairs)).orderBy("at").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    live, order = set(pairs), []
+    while live:
+        near = G._adjacency([*live, *[(b, a) for a, b in live]])
+        credit = G.edge_credits(near, near)
+        order.append(min((-round(c / 2, 9), e) for e, c in credit.items())[1])
+        live.discard(order[-1])
+    assert [(r["src"], r["dst"]) for r in removed] == order
