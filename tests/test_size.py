@@ -339,6 +339,12 @@ def test_girvan_newman_communities_of_many_edges(spark, counted_large):
     assert {r["vertex"]: r["community"] for r in found} == dict.fromkeys(range(1, 7), 1) | {7: 7, 8: 7}
 
 
+def test_girvan_newman_split_of_many_edges(spark, counted_large):
+    """What holds of the split is said of any number of edges."""
+    found = QUERIES["girvan_newman_split"](spark, "").first()
+    assert found.asDict() == {"n_vertices": 8, "value_holds": True, "n_connected": 8, "not_below": True}
+
+
 def test_removals_by_arrays(monkeypatch):
     """A sequence is the same, edge by edge, whether parts are searched by arrays or not; also of text."""
     from orebed.operators import graph as G
