@@ -382,3 +382,41 @@ def test_girvan_newman_merges_components(spark):
         order.append(min((-round(c / 2, 9), e) for e, c in credit.items())[1])
         live.discard(order[-1])
     assert [(r["src"], r["dst"]) for r in removed] == order
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("name", ["edge_betweenness", "max_betweenness"])
+def test_betweenness_of_twins(spark, monkeypatch, name, kind):
+    """Beyond the limit one of each twins is searched: copies with edges among them, without, a clique by itself, a star and a loop of four."""
+    from orebed.operators import graph as G
+
+    monkeypatch.setattr(G, "betweenness_by_joins", None)
+    rng = np.random.default_rng(12)
+    base = {(int(a), int(b)) for a, b in rng.integers(0, 9, (16, 2)) if a < b} | {(0, 9), (0, 10), (0, 11)}
+    many = [1, 3, 4, 2, 1, 2, 1, 1, 3, 1, 1, 1]
+    copies = lambda v: [100 * v + k for k in range(many[v])]
+    pairs = {(x, y) for a, b in base for x in copies(a) for y in copies(b)} | {(x, y) for v in (1, 3, 8) for x in copies(v) for y in copies(v) if x < y}
+    pairs |= {(x, y) for x in range(5000, 5005) for y in range(x + 1, 5005)} | {(6000, 6001), (6001, 6002), (6002, 6003), (6000, 6003)}
+    near = G._adjacency([*pairs, *[(b, a) for a, b in pairs]])
+    want = {e: c / 2 for e, c in G.edge_credits(near, near).items()}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long").selectExpr(f"cast(src + 1000 AS {kind}) AS src", f"cast(dst + 1000 AS {kind}) AS dst")
+    scored = G.edge_betweenness(edges, limit=len(pairs), once=True)
+    if name == "max_betweenness":
+        best = min((-round(c, 9), e) for e, c in want.items())[1]
+        assert tuple(int(x) - 1000 for x in G.best_edge(scored).first()[:2]) == best
+    else:
+        rows = scored.collect()
+        assert {(int(a) - 1000, int(b) - 1000): c for a, b, c in rows} == pytest.approx(want)
+        assert len(rows) == len(want)
+
+
+def test_twins_by_chance(spark, monkeypatch):
+    """Vertices said to be twins that are not: the searches are joins."""
+    from orebed.operators import graph as G
+
+    pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (3, 5)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    monkeypatch.setattr(G, "twins", lambda single: spark.createDataFrame([(1, 1, 2, False), (2, 1, 2, False), (3, 3, 1, False), (4, 4, 2, True), (5, 4, 2, True)], "vertex long, twin long, many long, apart boolean"))
+    found = {(r["src"], r["dst"]): r["betweenness"] for r in G.edge_betweenness(edges, limit=1).collect()}
+    near = G._adjacency([*pairs, *[(b, a) for a, b in pairs]])
+    assert found == pytest.approx({e: c / 2 for e, c in G.edge_credits(near, near).items()})
