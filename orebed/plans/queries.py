@@ -285,12 +285,11 @@ def lsh_pairs(spark, d):
 @query(f"""WITH {VERIFIED}, n AS (SELECT (SELECT count(*) FROM verified) AS tp, (SELECT count(*) FROM exact) AS truth)
 SELECT tp, CAST(0 AS BIGINT) AS fp, truth - tp AS fn, CASE WHEN tp > 0 THEN 1.0::DOUBLE END AS precision, round(tp / nullif(truth, 0), 6) AS recall FROM n""")
 def lsh_precision_recall(spark, d):
-    """Verified pairs are never false, so the SQL has fp 0 and precision 1 as constants; hash parameters are those of the code, the values are worked out anew."""
+    """Verified pairs are never false, so the SQL has fp 0 and precision 1 as constants; hash parameters are those of the code, the values are worked out anew.
+    Candidates that reach the threshold are the exact pairs that agree on a band, so these are looked at in the search for all pairs."""
     count, bands = L.PRESETS["pairs"]
-    tokens = A.document_tokens(spark, d)
-    lists = L.members(tokens, count=count)
-    found = L.precision_recall(L.similar_pairs(tokens, JACCARD, count, bands, lists=lists), L.exact_pairs(tokens, JACCARD, lists=lists))
-    return found.withColumn("recall", F.round("recall", 6))
+    pairs = L.exact_pairs(A.document_tokens(spark, d), JACCARD, count=count, bands=bands)
+    return L.recall_of(pairs).withColumn("recall", F.round("recall", 6))
 
 
 # ---- ratings

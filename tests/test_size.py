@@ -420,3 +420,42 @@ def test_twins_by_chance(spark, monkeypatch):
     found = {(r["src"], r["dst"]): r["betweenness"] for r in G.edge_betweenness(edges, limit=1).collect()}
     near = G._adjacency([*pairs, *[(b, a) for a, b in pairs]])
     assert found == pytest.approx({e: c / 2 for e, c in G.edge_credits(near, near).items()})
+
+
+@pytest.mark.parametrize("name", ["jaccard_pairs_exact", "lsh_precision_recall"])
+def test_exact_pairs_are_compared_where_they_meet(spark, name):
+    """Lists of members are shuffled once and their frequencies counted; neither likely pairs nor lists are joined to be compared."""
+    from orebed.operators import lsh as L
+    from orebed.plans import queries as Q
+
+    count, bands = L.PRESETS["pairs"]
+    before = written(spark)
+    L.members(Q.A.document_tokens(spark, SF), count=count if name == "lsh_precision_recall" else 0)
+    lists = written(spark) - before
+    assert moved(spark, name) - lists < 0.9 * size("documents")
+    assert "Join" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key", ["int", "string"])
+@pytest.mark.parametrize("small", [False, True])
+def test_exact_pairs_in_blocks(spark, monkeypatch, key, small):
+    """Copies, near copies, large sets and single members, in one block and in many; whether pairs agree on a band."""
+    from orebed.operators import lsh as L
+
+    if small:
+        for name, most in (("BLOCK_MEMBERS", 100), ("ORDERED_ROWS", 3), ("LOOKED", 5), ("ORDERED", 30)):
+            monkeypatch.setattr(L, name, most)
+    rng = np.random.default_rng(13)
+    base = [set(rng.integers(0, 60, 1 + 3 * s).tolist()) for s in range(12)]
+    own = {s: base[s % 12] ^ ({int(rng.integers(0, 60))} if s % 3 else set()) or {1} for s in range(60)} | {60: set(range(5000)), 61: set(range(2, 5000)), 62: set(range(3000))}
+    rows = spark.createDataFrame([(int(s), int(m)) for s, ms in own.items() for m in ms], "s int, m int").selectExpr(f"cast(s AS {key}) AS business_id", "m AS user_id").repartition(3)
+    name = (lambda s: s) if key == "int" else str
+    bands = {tuple(r) for r in L.candidate_pairs(L.minima(rows, count=9), 9, 3).collect()}
+    want = {(name(a), name(b)): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if name(a) < name(b)}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    found = L.exact_pairs(rows, 0.5, count=9, bands=3).collect()
+    assert {(r["a"], r["b"]): r["similarity"] for r in found} == pytest.approx(want)
+    assert len(found) == len(want)
+    assert {(r["a"], r["b"]) for r in found if r["banded"]} == set(want) & bands
+    assert L.recall_of(L.exact_pairs(rows, 0.5, count=9, bands=3)).first()[:3] == (len(set(want) & bands), 0, len(set(want) - bands))
+    assert {(r["a"], r["b"]) for r in L.exact_pairs(rows, 0.5).collect()} == set(want)
